@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import ORACLE_SQL as DECONTAMINATE_SQL
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,8 +31,14 @@ def op6_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_pivots, op3_token_files, op6_histogram_packing)
+    f.__name__: f for f in (op1_simhash_pivots, op3_token_files, op6_histogram_packing, op9_decontaminate)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_decontaminate": DECONTAMINATE_SQL}
