@@ -37,8 +37,14 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op10_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_pivots, op3_token_files, op6_histogram_packing, op9_decontaminate)
+    f.__name__: f for f in (op1_simhash_pivots, op3_token_files, op6_histogram_packing, op9_decontaminate, op10_secret_battery)
 }
 
 ORACLES: dict[str, str] = {"op9_decontaminate": DECONTAMINATE_SQL}
