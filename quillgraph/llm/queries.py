@@ -25,6 +25,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents")))
 
 
+def op5_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import sample_and_train, score
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, sample_and_train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -44,7 +51,7 @@ def op10_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_pivots, op3_token_files, op6_histogram_packing, op9_decontaminate, op10_secret_battery)
+    f.__name__: f for f in (op1_simhash_pivots, op3_token_files, op5_toxicity_gru, op6_histogram_packing, op9_decontaminate, op10_secret_battery)
 }
 
 ORACLES: dict[str, str] = {"op9_decontaminate": DECONTAMINATE_SQL}
