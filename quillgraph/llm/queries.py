@@ -38,6 +38,13 @@ def op6_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import predict, sample_and_fit
+
+    docs = _table(spark, sf_dir, "documents")
+    return predict(docs, sample_and_fit(docs))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -51,7 +58,7 @@ def op10_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_pivots, op3_token_files, op5_toxicity_gru, op6_histogram_packing, op9_decontaminate, op10_secret_battery)
+    f.__name__: f for f in (op1_simhash_pivots, op3_token_files, op5_toxicity_gru, op6_histogram_packing, op8_language_pieces, op9_decontaminate, op10_secret_battery)
 }
 
 ORACLES: dict[str, str] = {"op9_decontaminate": DECONTAMINATE_SQL}
