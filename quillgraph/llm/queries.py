@@ -19,6 +19,13 @@ def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_wav_peak_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import analyse, feature_string, store
+
+    found = analyse(store(_table(spark, sf_dir, "documents")))
+    return found.withColumn("feature", feature_string("fingerprint")).drop("fingerprint")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
@@ -58,7 +65,7 @@ def op10_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_pivots, op3_token_files, op5_toxicity_gru, op6_histogram_packing, op8_language_pieces, op9_decontaminate, op10_secret_battery)
+    f.__name__: f for f in (op1_simhash_pivots, op2_wav_peak_pairs, op3_token_files, op5_toxicity_gru, op6_histogram_packing, op8_language_pieces, op9_decontaminate, op10_secret_battery)
 }
 
 ORACLES: dict[str, str] = {"op9_decontaminate": DECONTAMINATE_SQL}
