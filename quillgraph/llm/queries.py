@@ -45,6 +45,12 @@ def op6_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_language_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import predict, sample_and_fit
 
@@ -65,7 +71,7 @@ def op10_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_pivots, op2_wav_peak_pairs, op3_token_files, op5_toxicity_gru, op6_histogram_packing, op8_language_pieces, op9_decontaminate, op10_secret_battery)
+    f.__name__: f for f in (op1_simhash_pivots, op2_wav_peak_pairs, op3_token_files, op5_toxicity_gru, op6_histogram_packing, op7_kneser_ney_quality, op8_language_pieces, op9_decontaminate, op10_secret_battery)
 }
 
 ORACLES: dict[str, str] = {"op9_decontaminate": DECONTAMINATE_SQL}
