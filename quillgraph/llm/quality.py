@@ -11,8 +11,10 @@ join: a task sorts the distinct n-grams of some documents and looks them up
 shard by shard, so its memory is bounded by one batch and one shard, whatever
 the model's size; no document text is shuffled for it.
 
-A document passes when its log perplexity is at most its language's threshold:
-the ``QUANTILE`` of trusted held-out documents plus ``MARGIN``.
+A short text's perplexity says little, so the statistic is the log perplexity
+shrunk by ``PSEUDO`` characters towards the language's median. A document passes
+when that is at most its language's threshold: the ``QUANTILE`` of trusted
+held-out documents plus ``MARGIN``.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ KEPT_SHARDS = 3
 BATCH_CHARS = 2_000_000
 FLUSH = 1_500_000
 QUANTILE, MARGIN = 0.99, 0.1
+PSEUDO = 40
 CACHE_BITS = 20
 
 
@@ -242,22 +245,23 @@ class Scorer:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` plus ``_log_ppl``, the mean negative log probability of a character (and the end)."""
+    """All columns of ``docs`` plus ``_log_ppl``, the mean negative log probability of a character, and ``_chars`` (the end counts as one)."""
     import pyarrow as pa
-    from pyspark.sql.types import DoubleType, StructField, StructType
+    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
     at = docs.columns.index("text")
-    schema = StructType([*docs.schema.fields, StructField("_log_ppl", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField("_log_ppl", DoubleType()), StructField("_chars", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
         for batch in batches:
             scorer = scorer or Scorer(model)
-            texts, values = batch.column(at).to_pylist(), []
+            texts, values, chars = batch.column(at).to_pylist(), [np.zeros(0)], [np.zeros(0, np.int64)]
             for a, b in _groups(texts):
                 codes, sizes = ngram_codes(texts[a:b], model.order)
                 values.append(-np.add.reduceat(scorer(codes), np.cumsum(sizes) - sizes) / sizes)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(values) if values else [], pa.float64())], names=[*batch.schema.names, "_log_ppl"])
+                chars.append(sizes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(values)), pa.array(np.concatenate(chars))], names=[*batch.schema.names, "_log_ppl", "_chars"])
 
     return docs.mapInArrow(run, schema)
 
@@ -272,27 +276,34 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Model:
     return train(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), order)
 
 
-def thresholds(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """``_lang`` and ``_limit``: a row a language with trusted held-out documents, and one with null for all others."""
-    ids = _trusted_ids(labels).where(held_out(F.col("doc_id")))
-    rows = scored.select("doc_id", F.coalesce("lang", F.lit("und")).alias("_lang"), "_log_ppl").join(ids, "doc_id", "left_semi")
-    limit = (F.percentile_approx("_log_ppl", quantile, 10_000) + margin).alias("_limit")
-    return rows.groupBy("_lang").agg(limit).unionByName(rows.agg(limit).select(F.lit(None).cast("string").alias("_lang"), "_limit"))
+def _by_language(values: dict[str | None, float]):
+    """Column: the value of the row's language, else that of all languages (key null)."""
+    own = {k: v for k, v in values.items() if k is not None}
+    general = F.lit(values.get(None)).cast("double")
+    if not own:
+        return general
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in own.items() for x in kv]), F.coalesce("lang", F.lit("und"))), general)
+
 
+def _quantiles(rows: DataFrame, value, quantile: float) -> dict[str | None, float]:
+    """Quantile of each language and, under null, of all; a few numbers a language, pre-aggregated as sketches."""
+    sketch = F.percentile_approx(value, quantile, 10_000).alias("q")
+    out = {r.k: r.q for r in rows.groupBy(F.coalesce("lang", F.lit("und")).alias("k")).agg(sketch).collect()}
+    return out | {None: rows.agg(sketch).first().q}
 
-def _decided(scored: DataFrame, limits: DataFrame) -> DataFrame:
-    """Adds ``_limit`` and ``_keep``. The limits' rows, one a language, are few; the map is built from them on the driver."""
-    rows = limits.collect()
-    overall = next((r._limit for r in rows if r._lang is None), None)
-    own = {r._lang: r._limit for r in rows if r._lang is not None}
-    lang = F.coalesce("lang", F.lit("und"))
-    general = F.lit(overall).cast("double")
-    limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in own.items() for x in kv]), lang), general) if own else general
-    return scored.withColumn("_limit", limit).withColumn("_keep", F.coalesce(F.col("_log_ppl") <= F.col("_limit"), F.lit(True)))
+
+def decide(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+    """Adds ``_statistic``, ``_limit`` and ``_keep``."""
+    ids = _trusted_ids(labels).where(held_out(F.col("doc_id")))
+    trusted = scored.select("doc_id", "lang", "_log_ppl", "_chars").join(ids, "doc_id", "left_semi")
+    centre = _by_language(_quantiles(trusted, F.col("_log_ppl"), 0.5))
+    statistic = (F.col("_log_ppl") * F.col("_chars") + PSEUDO * centre) / (F.col("_chars") + PSEUDO)
+    limit = _by_language(_quantiles(trusted, statistic, quantile)) + margin
+    return scored.withColumn("_statistic", statistic).withColumn("_limit", limit).withColumn("_keep", F.coalesce(F.col("_statistic") <= F.col("_limit"), F.lit(True)))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per input row: ``doc_id``, ``lang``, ``perplexity`` (a character), ``threshold``, ``keep``.
+    """One row per input row: ``doc_id``, ``lang``, ``perplexity`` (a character), ``shrunk`` perplexity, ``threshold``, ``keep``.
 
     Null and empty texts are the end symbol alone and judged like any text. A
     null language counts as ``und``; a language without trusted held-out text
@@ -301,10 +312,10 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "lang", "text")
     scored = write_table(score(docs, fit(docs, labels)).drop("text"), "perplexity")
-    return _decided(scored, thresholds(scored, labels)).select("doc_id", "lang", F.exp("_log_ppl").alias("perplexity"), F.exp("_limit").alias("threshold"), F.col("_keep").alias("keep"))
+    return decide(scored, labels).select("doc_id", "lang", F.exp("_log_ppl").alias("perplexity"), F.exp("_statistic").alias("shrunk"), F.exp("_limit").alias("threshold"), F.col("_keep").alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the classifier rejects; columns unchanged."""
     scored = write_table(score(docs, fit(docs, labels)), "perplexity")
-    return _decided(scored, thresholds(scored, labels)).where("_keep").select(*docs.columns)
+    return decide(scored, labels).where("_keep").select(*docs.columns)
