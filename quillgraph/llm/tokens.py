@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -30,48 +31,54 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Encodes texts to uint32 id arrays; one per Python worker."""
+    """Encodes texts to uint32 id arrays; one per Python worker.
 
-    def __init__(self, path: str, memo: int = 300_000):
+    Ids are kept as packed two-byte strings, so that a text's ids are one join.
+    Both memos are bounded; a full one is dropped and fills again.
+    """
+
+    def __init__(self, path: str, chunks: int = 400_000, pieces: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of this vocabulary need more than two bytes")
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.memo_size = memo
-        self.memo: dict[str, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.most_chunks, self.most_pieces = chunks, pieces
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            got = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-            if len(self.pieces) >= self.memo_size:
-                self.pieces.clear()
-            self.pieces[piece] = got
+            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(spelled)]
+            got = struct.pack(f"<{len(ids)}H", *ids)
+            if len(piece) <= 40:
+                if len(self.pieces) >= self.most_pieces:
+                    self.pieces.clear()
+                self.pieces[piece] = got
         return got
 
-    def _chunk(self, chunk: str) -> list[int]:
-        found = _PIECE.findall(chunk)
-        if len(found) == 1:
-            return self._piece(found[0])
-        return [i for piece in found for i in self._piece(piece)]
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a run without white space; runs that are one piece are kept with the pieces only."""
+        if chunk.isalpha():
+            return self._piece(chunk)
+        got = b"".join(map(self._piece, _PIECE.findall(chunk)))
+        if len(chunk) <= 40:
+            if len(self.chunks) >= self.most_chunks:
+                self.chunks.clear()
+            self.chunks[chunk] = got
+        return got
 
     def encode(self, text: str) -> np.ndarray:
         if _NOT_PLAIN.search(text) or "<|" in text:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        memo, out = self.memo, []
-        for chunk in text.lower().split():
-            ids = memo.get(chunk)
-            if ids is None:
-                ids = self._chunk(chunk)
-                if len(chunk) <= 40:
-                    if len(memo) >= self.memo_size:
-                        memo.clear()
-                    memo[chunk] = ids
-            out += ids
-        return np.array(out, dtype=np.uint32)
+        whole, mixed, chunk = self.pieces.get, self.chunks.get, self._chunk
+        packed = b"".join([whole(c) or mixed(c) or chunk(c) for c in text.lower().split()])
+        return np.frombuffer(packed, "<u2").astype(np.uint32)
 
 
 _encoders: dict[str, WordEncoder] = {}
