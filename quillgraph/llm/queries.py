@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import ORACLE_SQL as DECONTAMINATE_SQL
+from .quotes import ORACLE_SQL as QUOTES_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents")))
 
 
+def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotes import link_conversations
+
+    return link_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op5_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import sample_and_train, score
 
@@ -71,7 +78,7 @@ def op10_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_pivots, op2_wav_peak_pairs, op3_token_files, op5_toxicity_gru, op6_histogram_packing, op7_kneser_ney_quality, op8_language_pieces, op9_decontaminate, op10_secret_battery)
+    f.__name__: f for f in (op1_simhash_pivots, op2_wav_peak_pairs, op3_token_files, op4_quotation_links, op5_toxicity_gru, op6_histogram_packing, op7_kneser_ney_quality, op8_language_pieces, op9_decontaminate, op10_secret_battery)
 }
 
-ORACLES: dict[str, str] = {"op9_decontaminate": DECONTAMINATE_SQL}
+ORACLES: dict[str, str] = {"op4_quotation_links": QUOTES_SQL, "op9_decontaminate": DECONTAMINATE_SQL}
