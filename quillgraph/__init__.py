@@ -1,0 +1 @@
+"""Retrieval over multimodal knowledge graphs and answer evaluation as Spark DataFrame plans."""
