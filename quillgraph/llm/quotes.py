@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import write_table
+from .shared import let, write_table
 
 BUCKET = 1024
 MARKS = r"^[ \t]*(>[ \t]*)+"
@@ -48,9 +48,13 @@ def _passages(lines: Column) -> Column:
     indexed = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x["level"].alias("level"), x["body"].alias("body"))), lambda x: x["body"] != "")
     before = lambda x: F.get(lines, x["i"] - 1)
     starts = F.filter(indexed, lambda x: (x["i"] == 0) | F.coalesce((before(x)["body"] == "") | (before(x)["level"] != x["level"]), F.lit(True)))
-    after = lambda k: F.coalesce(F.get(F.transform(starts, lambda s: s["i"]), k + 1), F.size(lines))
-    body = lambda s, k: F.array_join(F.transform(F.filter(F.slice(lines, s["i"] + 1, after(k) - s["i"]), lambda x: (x["body"] != "") & (x["level"] == s["level"])), lambda x: x["body"]), " ")
-    return F.transform(starts, lambda s, k: F.struct(s["level"].alias("level"), body(s, k).alias("body")))
+
+    def runs(t: Column) -> Column:
+        after = lambda k: F.coalesce(F.get(t, k + 1)["i"], F.size(lines))
+        body = lambda s, k: F.array_join(F.transform(F.filter(F.slice(lines, s["i"] + 1, after(k) - s["i"]), lambda x: (x["body"] != "") & (x["level"] == s["level"])), lambda x: x["body"]), " ")
+        return F.transform(t, lambda s, k: F.struct(s["level"].alias("level"), body(s, k).alias("body")))
+
+    return let(starts, runs)
 
 
 def parse(messages: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,3 +49,8 @@ def filesystem(uri: str):
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
     return fs.FileSystem.from_uri(uri)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, not once wherever it is mentioned."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
