@@ -19,7 +19,7 @@ from .shared import write_table
 
 SIZE = 13
 HEAD = 3
-MAX_WINDOWS = 100_000
+MAX_WINDOWS = 50_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 HITS = "array<struct<start:int,n:int,window:string>>"
 CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

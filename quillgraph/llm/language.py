@@ -29,6 +29,7 @@ VOCABULARY = "piece_bpe_32k.model"
 LONGEST = 64
 PER_LANG = 1500
 CHUNK = 250_000  # words scored at once
+CELLS = 100_000  # words times languages in one lattice
 SCALE = 12.0  # per character, so that products of probabilities stay in range
 UNKNOWN = 1e-7
 MARK = "▁"
@@ -192,8 +193,9 @@ def fit(texts: list[str | None], langs: list[str], path: str, rounds: int = 4, a
     weights = np.array([counts[w] for w in words]).reshape(-1, len(names))
     for _ in range(rounds if words else 0):
         total = np.zeros_like(p)
-        for a in range(0, len(words), 50_000):
-            total += expected_counts(lattice(words[a : a + 50_000], pieces), p, weights[a : a + 50_000])
+        step = max(500, CELLS // len(names))
+        for a in range(0, len(words), step):
+            total += expected_counts(lattice(words[a : a + step], pieces), p, weights[a : a + step])
         total[:-1] += add
         p = total / total[:-1].sum(axis=0)
         p[-1] = UNKNOWN
@@ -245,7 +247,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 if not rows:
                     continue
                 words = list(memo)
-                logs = np.concatenate([forward(lattice(words[a : a + 30_000], pieces), m.p)[0] for a in range(0, len(words), 30_000)])
+                step = max(500, CELLS // len(m.langs))
+                logs = np.concatenate([forward(lattice(words[a : a + step], pieces), m.p)[0] for a in range(0, len(words), step)])
                 sizes_ = np.array(sizes)
                 some = np.flatnonzero(sizes_)
                 starts = (np.cumsum(sizes_) - sizes_)[some]

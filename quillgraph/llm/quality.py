@@ -166,6 +166,7 @@ class Shards:
     """Lookups in a folder of key-sorted shards; holds a few shards at a time, in the order they were last used."""
 
     def __init__(self, uri: str):
+        import pyarrow.parquet as pq
         from pyarrow import fs
 
         self.fs, root = filesystem(uri)
@@ -174,9 +175,11 @@ class Shards:
         self.firsts, self.kept = [], {}
         bounds = []
         for p in self.paths:
-            keys = self._read(p)[0]
-            if len(keys):
-                bounds.append((int(keys[0]), p))
+            with self.fs.open_input_file(p) as file:  # the first key is in the footer
+                footer = pq.ParquetFile(file).metadata
+                if footer.num_rows:
+                    at = next(i for i in range(footer.num_columns) if footer.row_group(0).column(i).path_in_schema == "key")
+                    bounds.append((int(footer.row_group(0).column(at).statistics.min), p))
         bounds.sort()
         self.firsts, self.paths = np.array([b for b, _ in bounds], np.int64), [p for _, p in bounds]
 

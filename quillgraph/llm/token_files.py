@@ -34,6 +34,7 @@ CHECKSUM_FLAG = 0x80
 
 END_ID = 1
 FRAME_BYTES = 1 << 18
+NO_ID = -(1 << 63)  # stands for a missing doc_id; nulls come first in the order, as this value does
 
 
 def _checksum(data: bytes) -> int:
@@ -139,8 +140,7 @@ def write_token_files(docs: DataFrame, vocabulary: str | None = None, end_id: in
     Manifest: ``part`` (the files' order), ``path``, ``n_docs``, ``n_tokens``.
     Each task streams its range of documents into a file of a fresh name, and
     only committed tasks enter the manifest, so that retries do no harm. Null
-    texts are empty; rows without ``doc_id`` have no place in the order and
-    raise. Rows that repeat a ``doc_id`` follow one another, ordered by text.
+    texts are empty; rows without ``doc_id`` come first. Rows that repeat a ``doc_id`` follow one another, ordered by text.
     """
     import pyarrow as pa
 
@@ -155,13 +155,11 @@ def write_token_files(docs: DataFrame, vocabulary: str | None = None, end_id: in
         path = f"{root}/{uuid.uuid4().hex}.zst"
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if doc_id is None:
-                    raise ValueError("a row without doc_id has no place in the files")
                 if writer is None:
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(path, compression=None)
                     writer = TokenFileWriter(out)
-                writer.add(doc_id, np.concatenate((enc.encode(text or ""), end)))
+                writer.add(NO_ID if doc_id is None else doc_id, np.concatenate((enc.encode(text or ""), end)))
         if writer is not None:
             writer.close()
             out.close()
@@ -191,7 +189,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 with fs.open_input_file(path) as file:
                     ids, starts, counts, crcs = [], [], [], []
                     for doc_id, tokens in TokenFileReader(file).documents():
-                        ids.append(doc_id)
+                        ids.append(None if doc_id == NO_ID else doc_id)
                         starts.append(start)
                         counts.append(len(tokens))
                         crcs.append(zlib.crc32(tokens.astype("<u4").tobytes()))
