@@ -30,47 +30,60 @@ from .components import connected_components
 from .shared import write_table
 
 BITS = 64
+SEED, SECOND_SEED = 42, 43
 SPLIT = r"[\x20\x09-\x0D]+"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """Unsigned 64-bit SimHash of a whole text; null and wordless texts give 0."""
-    import xxhash
-
+def shingle_bytes(text: str | None, words: int = 4) -> list[bytes]:
+    """The word shingles of a whole text, repeats included; fewer words make one, none make none."""
     if not text:
-        return 0
+        return []
     parts = text.encode("utf-8", "surrogatepass").translate(_LOWER).translate(_BLANKS).split()
-    if not parts:
-        return 0
-    n = max(1, len(parts) - words + 1)
     if len(parts) <= words:
-        shingles = [b" ".join(parts)]
-    else:
-        joined = b" ".join(parts)
-        lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-        ends = (starts + lengths)[words - 1 :].tolist()
-        shingles = [joined[a:b] for a, b in zip(starts[:n].tolist(), ends, strict=True)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, 42) for s in shingles], dtype=">u8")
+        return [b" ".join(parts)] if parts else []
+    joined = b" ".join(parts)
+    lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
+    ends = (starts + lengths)[words - 1 :].tolist()
+    return [joined[a:b] for a, b in zip(starts[: len(ends)].tolist(), ends, strict=True)]
+
+
+def majority(shingles: list[bytes], seed: int = SEED) -> int:
+    """Unsigned 64-bit SimHash: a bit is set if it is in over half the hashes; no shingles give 0."""
+    import xxhash
+
+    n, digest = len(shingles), xxhash.xxh64_intdigest
+    if not n:
+        return 0
+    hashes = np.array([digest(s, seed) for s in shingles], dtype=">u8")
     ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``fp`` (the fingerprint's bits as a signed long) of every row."""
+def fingerprint(text: str | None, words: int = 4, seed: int = SEED) -> int:
+    """Fingerprint of a whole text; null and wordless texts give 0."""
+    return majority(shingle_bytes(text, words), seed)
+
+
+def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str = "text", second: bool = False) -> DataFrame:
+    """``key``, ``fp`` (the fingerprint's bits as a signed long) and ``fp2`` (that of another seed, else 0) of every row."""
     import pyarrow as pa
 
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t, words) for t in batch.column(1).to_pylist()), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["k", "fp"])
+            fps = np.zeros((2, batch.num_rows), np.uint64)
+            for i, t in enumerate(batch.column(1)):
+                shingles = shingle_bytes(t.as_py(), words)
+                fps[0, i] = majority(shingles)
+                if second:
+                    fps[1, i] = majority(shingles, SECOND_SEED)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.view(np.int64)) for x in fps]], ["k", "fp", "fp2"])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, fp long").withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, fp long, fp2 long").withColumnRenamed("k", key)
 
 
 def resolving_references(width: int, seed: int = 7) -> list[int]:
@@ -86,11 +99,14 @@ def resolving_references(width: int, seed: int = 7) -> list[int]:
     return chosen
 
 
-def block_count(rows: int, max_bits: int = 4) -> int:
-    """Blocks for which chance meetings in all keys stay below about one per fingerprint; any choice is exact."""
+def block_count(rows: int, max_bits: int = 4, chance: float = 1) -> int:
+    """Blocks for which chance meetings in all keys stay below about ``chance`` per fingerprint; any number is exact.
+
+    More blocks mean longer keys and fewer meetings, but more keys.
+    """
     for m in range(max_bits + 2, max_bits + 9):
         key_bits = BITS * (m - max_bits) // m
-        if math.comb(m, max_bits) * rows / 2 / 2**key_bits <= 1:
+        if math.comb(m, max_bits) * rows / 2 / 2**key_bits <= chance:
             return m
     return max_bits + 8
 
@@ -130,26 +146,33 @@ class PivotTable:
         return F.array(*[F.xxhash64(F.lit(i), *[coords[b] for b in kept]) for i, kept in enumerate(itertools.combinations(range(len(self.blocks)), len(self.blocks) - self.max_bits))])
 
 
-def links(nodes: DataFrame, max_bits: int = 4, blocks: int | None = None) -> DataFrame:
-    """Distinct linked pairs (``a`` < ``b``) of the distinct fingerprints in column ``fp``."""
-    blocks = blocks or block_count(nodes.count(), max_bits)
+def links(nodes: DataFrame, max_bits: int = 4, blocks: int | None = None, second_bits: int | None = None, chance: float = 1) -> DataFrame:
+    """Distinct linked pairs of the nodes: ``a``, ``b`` (fingerprints, ``a`` <= ``b``) with ``a2``, ``b2`` (second ones).
+
+    ``nodes`` has distinct (``fp``, ``fp2``). With ``second_bits`` the second
+    fingerprints must be that near as well, which rules out chance meetings.
+    """
+    blocks = blocks or block_count(nodes.count(), max_bits, chance)
     table = PivotTable(blocks, max_bits)
     keyed = (
-        nodes.select("fp")
+        nodes.select("fp", "fp2")
         .withColumn("c", table.block_coordinates(F.col("fp")))
-        .select("fp", F.explode(table.keys(F.col("c"))).alias("key"))
+        .select("fp", "fp2", F.explode(table.keys(F.col("c"))).alias("key"))
     )
     near = lambda x, y: F.abs(x.cast("int") - y.cast("int")) <= max_bits
-    left, right = keyed.select("key", F.col("fp").alias("a")), keyed.select("key", F.col("fp").alias("b"))
-    pivots = range(table.pivots)
+    left = keyed.select("key", F.col("fp").alias("a"), F.col("fp2").alias("a2"))
+    right = keyed.select("key", F.col("fp").alias("b"), F.col("fp2").alias("b2"))
     whole = lambda fp, j: sum((table._distance(fp, b, j) for b in range(1, blocks)), table._distance(fp, 0, j))
-    pairs = left.join(right, "key").where(F.col("a") < F.col("b"))
-    for j in pivots:
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("a2") < F.col("b2"))))
+    for j in range(table.pivots):
         pairs = pairs.where(near(whole(F.col("a"), j), whole(F.col("b"), j)))
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b").distinct()
+    pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+    if second_bits is not None:
+        pairs = pairs.where(F.bit_count(F.col("a2").bitwiseXOR(F.col("b2"))) <= second_bits)
+    return pairs.select("a", "a2", "b", "b2").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, key: str = "doc_id", text: str = "text", second_bits: int | None = None, chance: float = 1) -> DataFrame:
     """One row per input row: ``key``, ``fingerprint`` (hex), ``component_id``, ``n_links``.
 
     ``component_id`` is the smallest ``key`` reachable over links, itself
@@ -157,29 +180,30 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, key: str
     Null and empty texts have fingerprint zero and link like any other. Rows
     with a null key get a null component unless their fingerprint has a keyed
     row. Rows that repeat a key are one graph node. Extra columns are ignored.
+    ``second_bits`` also bounds the distance of fingerprints under another seed.
     """
-    fps = write_table(fingerprints(docs, words, key, text), "simhash")
-    nodes = write_table(fps.groupBy("fp").agg(F.min(key).alias("rep")), "simhash-nodes")
-    found = write_table(links(nodes, max_bits), "simhash-links")
-    degree = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
-    edges = (
-        found.join(nodes.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a")
-        .join(nodes.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b")
-        .select("u", "v")
-    )
-    shared_keys = fps.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
+    both = ["fp", "fp2"]
+    fps = write_table(fingerprints(docs, words, key, text, second_bits is not None), "simhash")
+    nodes = write_table(fps.groupBy(*both).agg(F.min(key).alias("rep")), "simhash-nodes")
+    found = write_table(links(nodes, max_bits, None, second_bits, chance), "simhash-links")
+    side = lambda x: found.select(F.col(x).alias("fp"), F.col(f"{x}2").alias("fp2"))
+    degree = side("a").unionByName(side("b")).groupBy(*both).agg(F.count("*").alias("n_links"))
+    node = lambda x, rep: nodes.select(F.col("fp").alias(x), F.col("fp2").alias(f"{x}2"), F.col("rep").alias(rep))
+    edges = found.join(node("a", "u"), ["a", "a2"]).join(node("b", "v"), ["b", "b2"]).select("u", "v")
+    value = F.struct(*both)
+    shared_keys = fps.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi")).where("lo <> hi")
     repeated = (
         fps.join(shared_keys.select(key), key, "left_semi")
-        .join(nodes, "fp")
+        .join(nodes, both)
         .select(F.col(key).alias("u"), F.col("rep").alias("v"))
     )
     groups = connected_components(edges.unionByName(repeated))
     labelled = (
         nodes.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(degree, "fp", "left")
-        .select("fp", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        .join(degree, both, "left")
+        .select(*both, F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )
-    return fps.join(labelled, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    return fps.join(labelled, both).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
 def keep_one_of_each_group(docs: DataFrame, **options) -> DataFrame:
