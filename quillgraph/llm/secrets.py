@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import write_table
+from .shared import let, write_table
 
 # Fixed values of the base patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,6 +35,7 @@ MIN_VALUE, MIN_ACCESS, MIN_HEX = 12, 18, 16
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 FDR = 0.05
 GRID, MAX_BITS = 8, 60
+SUM_BLOCK = 128
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPAN = "array<struct<start:int,kind_no:int,kind:string,end:int>>"
 TOKEN = "array<struct<start:int,end:int,stratum:int,step:int>>"
@@ -44,14 +45,29 @@ def _found(text: Column, pattern: str, weigh: Column | None = None) -> Column:
     """Array of (start, end, value, weight) of the leftmost non-overlapping matches; code points, end exclusive.
 
     The pieces between matches and the matches themselves are laid end to end.
+    Ends are sums over blocks of ``SUM_BLOCK`` and within the block, so that many
+    matches in one text stay far below quadratic cost.
     """
     values = F.regexp_extract_all(text, F.lit(pattern), 0)
-    gaps = F.split(text, pattern, -1)
     weights = F.transform(values, lambda v: F.length(v)) if weigh is None else weigh
-    zipped = F.transform(values, lambda v, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(v).alias("n"), v.alias("value"), F.get(weights, i).alias("w")))
-    lengths = F.transform(zipped, lambda z: z["gap"] + z["n"])
-    ends = F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda a, x: a + x))
-    return F.transform(zipped, lambda z, i: F.struct((F.get(ends, i) - z["n"]).alias("start"), F.get(ends, i).alias("end"), z["value"].alias("value"), z["w"].alias("w")))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def rows(t: Column) -> Column:
+        return F.transform(t["v"], lambda v, i: F.struct(F.length(v).alias("n"), v.alias("value"), F.get(t["w"], i).alias("w"), (F.length(F.get(t["g"], i)) + F.length(v)).alias("step")))
+
+    def sums(z: Column) -> Column:
+        steps = F.transform(z, lambda x: x["step"])
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / SUM_BLOCK).cast("int")), lambda b: total(F.transform(F.slice(z, b * SUM_BLOCK + 1, SUM_BLOCK), lambda x: x["step"])))
+        return F.struct(z.alias("z"), steps.alias("steps"), F.when(F.size(z) > 0, blocks).alias("blocks"))
+
+    def placed(t: Column) -> Column:
+        block = lambda i: F.floor(i / SUM_BLOCK).cast("int")
+        end = lambda i: total(F.slice(t["blocks"], F.lit(1), block(i))) + total(F.slice(t["steps"], block(i) * SUM_BLOCK + 1, F.pmod(i, F.lit(SUM_BLOCK)) + 1))
+        both = F.transform(t["z"], lambda x, i: F.struct(end(i).alias("end"), x.alias("x")))
+        return F.transform(both, lambda y: F.struct((y["end"] - y["x"]["n"]).alias("start"), y["end"].alias("end"), y["x"]["value"].alias("value"), y["x"]["w"].alias("w")))
+
+    parts = F.struct(values.alias("v"), F.split(text, pattern, -1).alias("g"), weights.alias("w"))
+    return let(let(let(parts, rows), sums), placed)
 
 
 def _kind(found: Column, no: int, least: int) -> Column:
