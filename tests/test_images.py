@@ -3,11 +3,10 @@ import numpy as np
 from quillgraph.functions import images as I
 
 
-def codec():
-    return (lambda b: np.frombuffer(b, np.uint8).reshape(12, 10, 3)), (lambda im, quality: im.tobytes())
-
-
 def test_augmentation_is_deterministic(spark):
+    def codec():
+        return (lambda b: np.frombuffer(b, np.uint8).reshape(12, 10, 3)), (lambda im, quality: im.tobytes())
+
     im = np.random.default_rng(0).integers(0, 256, (12, 10, 3), dtype=np.uint8)
     for family in I.CHOICES:
         seen = set()
