@@ -159,13 +159,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_windows:
     hit are returned unchanged, null texts included.
     """
     found, _ = scan(docs, benchmark, size, max_windows)
-    n_hit = hit_words(F.col("_hits"))
+    # Stored, since a filter on the hits would be pushed below their computation and repeat it.
+    found = write_table(found.withColumn("_n", F.size("_w")).withColumn("_hit", hit_words(F.col("_hits"))).drop("_w"), "scanned")
     cased = F.regexp_extract_all("text", F.lit(CASED_WORD), 0)
     gaps = F.split("text", CASED_WORD, -1)
     covered = lambda i: F.exists("_hits", lambda c: (c["start"] <= i) & (i < c["start"] + c["n"]))
     kept = F.transform(cased, lambda word, i: F.concat(F.when(covered(i), F.lit("")).otherwise(word), F.get(F.col("_g"), i + 1)))
     return (
-        found.where(~is_contaminated(n_hit, F.size("_w")))
+        found.where(~is_contaminated(F.col("_hit"), F.col("_n")))
         .withColumn("_g", F.when(F.size("_hits") > 0, gaps))
         .withColumn("text", F.when(F.size("_hits") > 0, F.concat(F.get("_g", F.lit(0)), F.array_join(kept, ""))).otherwise(F.col("text")))
         .select(*docs.columns)
