@@ -274,8 +274,12 @@ def _trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Model:
-    """Train on the trusted documents that are not held out."""
-    ids = _trusted_ids(labels).where(~held_out(F.col("doc_id")))
+    """Train on the trusted documents that are not held out.
+
+    The join is hashed by ``doc_id`` at every size, so that small label tables
+    take the path that large ones need: a hash table of one partition's ids.
+    """
+    ids = _trusted_ids(labels).where(~held_out(F.col("doc_id"))).hint("shuffle_hash")
     return train(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), order)
 
 
