@@ -138,8 +138,20 @@ class PivotTable:
         return F.array(*out)
 
     def coordinates(self, fp):
-        """Array of the distances to all pivots, each the sum over its blocks."""
-        return F.array(*[sum((self._distance(fp, b, j) for b in range(1, len(self.blocks))), self._distance(fp, 0, j)).cast("byte") for j in range(self.pivots)])
+        """Long of the distances to all pivots, eight bits each; a distance is the sum over its blocks."""
+        packed = F.lit(0).cast("long")
+        for j in range(self.pivots):
+            whole = sum((self._distance(fp, b, j) for b in range(1, len(self.blocks))), self._distance(fp, 0, j))
+            packed = packed.bitwiseOR(F.shiftleft(whole.cast("long"), 8 * j))
+        return packed
+
+    def within(self, x, y):
+        """Whether no coordinate of two packed rows differs by more than ``max_bits``."""
+        at = lambda c, j: F.shiftrightunsigned(c, 8 * j).bitwiseAND(F.lit(0xFF).cast("long"))
+        out = F.lit(True)
+        for j in range(self.pivots):
+            out = out & (F.abs(at(x, j) - at(y, j)) <= self.max_bits)
+        return out
 
     def keys(self, coords):
         """Array of one hash for each choice of blocks that must agree."""
@@ -157,15 +169,12 @@ def links(nodes: DataFrame, max_bits: int = 4, blocks: int | None = None, second
     keyed = (
         nodes.select("fp", "fp2")
         .withColumn("c", table.block_coordinates(F.col("fp")))
-        .select("fp", "fp2", F.explode(table.keys(F.col("c"))).alias("key"))
+        .withColumn("d", table.coordinates(F.col("fp")))
+        .select("fp", "fp2", "d", F.explode(table.keys(F.col("c"))).alias("key"))
     )
-    near = lambda x, y: F.abs(x.cast("int") - y.cast("int")) <= max_bits
-    left = keyed.select("key", F.col("fp").alias("a"), F.col("fp2").alias("a2"))
-    right = keyed.select("key", F.col("fp").alias("b"), F.col("fp2").alias("b2"))
-    whole = lambda fp, j: sum((table._distance(fp, b, j) for b in range(1, blocks)), table._distance(fp, 0, j))
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("a2") < F.col("b2"))))
-    for j in range(table.pivots):
-        pairs = pairs.where(near(whole(F.col("a"), j), whole(F.col("b"), j)))
+    side = lambda x: keyed.select("key", F.col("fp").alias(x), F.col("fp2").alias(f"{x}2"), F.col("d").alias(f"{x}_d"))
+    pairs = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("a2") < F.col("b2"))))
+    pairs = pairs.where(table.within(F.col("a_d"), F.col("b_d")))
     pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
     if second_bits is not None:
         pairs = pairs.where(F.bit_count(F.col("a2").bitwiseXOR(F.col("b2"))) <= second_bits)
