@@ -215,12 +215,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, key: str
     return fps.join(labelled, both).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-def keep_one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without near copies: of each group the row with the smallest ``doc_id`` stays.
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with the rows that name their group, the one with the smallest ``doc_id``; ``found`` has ``doc_id`` and ``component_id``.
 
     Rows without a ``doc_id`` stay. Of rows that repeat a kept ``doc_id`` one stays.
     """
-    found = near_duplicates(docs, **options).where("doc_id is not null")
     kept = found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where("c = doc_id")
     kept = write_table(kept.select("doc_id", "n"), "simhash-kept")
     out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
@@ -228,3 +227,8 @@ def keep_one_of_each_group(docs: DataFrame, **options) -> DataFrame:
         order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
         out = out.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
     return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def keep_one_of_each_group(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` without near copies by fingerprint, as ``keep_first`` has them."""
+    return keep_first(docs, near_duplicates(docs, **options).where("doc_id is not null"))

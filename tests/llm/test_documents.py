@@ -105,6 +105,36 @@ def test_one_of_each_group_stays(spark, docs):
     assert sorted(r.doc_id for r in kept.collect()) == want and kept.columns == docs.columns
 
 
+def test_pipeline_near_copies_are_exact(spark):
+    """Texts from 0.6 to 1 similar: links exactly at 0.8 or more, whatever their fingerprints."""
+    from corpus_pipeline import near_dedup
+    from quillgraph.llm.shingles import near_copies
+
+    rng, rows = np.random.default_rng(3), []
+    for g in range(60):
+        words = [f"g{g}w{i}" for i in range(int(rng.integers(30, 120)))]
+        rows.append(" ".join(words))
+        for edits in rng.integers(1, 5, 3):
+            copy = list(words)
+            for at in rng.choice(len(words), edits, replace=False):
+                copy[at] = f"e{rng.integers(10**9)}"
+            rows.append(" ".join(copy))
+    rows += ["", None, " ", "one", "One", "a b c d e f g h", rows[0]]
+    found = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in ((t or "").lower().split() for t in rows)]
+    group = list(range(len(rows)))
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if found[i] == found[j] or 5 * len(found[i] & found[j]) >= 4 * len(found[i] | found[j])]
+    for _ in rows:
+        for i, j in near:
+            group[i] = group[j] = min(group[i], group[j])
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in near_copies(docs).collect()} == dict(enumerate(group))
+    odd = docs.unionByName(spark.createDataFrame([(None, rows[0]), (0, rows[4])], docs.schema))
+    assert sorted(r.doc_id for r in near_dedup(spark, docs, "").collect()) == sorted(set(group))
+    joined = {min(group[0], group[4])} | {g for g in group if g not in (group[0], group[4])}
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in near_dedup(spark, odd, "").collect()) == sorted(joined | {-1})
+    assert near_dedup(spark, docs.limit(0), "").count() == 0
+
+
 def brute_ids(texts, end):
     import public_tokenizers
     from tokenizers import Tokenizer
