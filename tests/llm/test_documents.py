@@ -249,6 +249,19 @@ def test_spectral_peaks_by_definition():
     assert len(fingerprint(bytes(64))) == 0
 
 
+def test_short_payloads_have_features():
+    from quillgraph.llm.media import FRAME, SHORT, fingerprint, payload
+
+    rng = np.random.default_rng(6)
+    letters = list("etaoin shrdlu")
+    texts = {"".join(rng.choice(letters, n)) for n in (24, 40, 64, 65, 128, 300, 1000, 1024) for _ in range(8)}
+    found = {t: tuple(fingerprint(payload(t)[0]).tolist()) for t in texts}
+    assert all(found.values()) and len(set(found.values())) == len(texts)
+    assert all(c & SHORT for f in found.values() for c in f)
+    assert fingerprint(payload("x")[0]).size and not fingerprint(bytes(FRAME)).size and not fingerprint(bytes([65]) * 64).size
+    assert all(not c & SHORT for c in fingerprint(payload("".join(rng.choice(letters, FRAME + 1)))[0]).tolist())
+
+
 def test_contamination(spark, docs):
     from quillgraph.llm.decontaminate import clean, contamination
 
