@@ -204,32 +204,32 @@ def _vectors(spark, sf):
     return e.where(F.col("vec_id") < N_QUERIES), e.where(F.col("vec_id") >= N_QUERIES)
 
 
-def _ranked(spark, sf, k=100):
-    q, c = _vectors(spark, sf)
+def _ranked(spark, sf, k=100, vectors=_vectors):
+    q, c = vectors(spark, sf)
     scores = V.dense_scores(q.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("emb")), c.select(F.col("vec_id").alias("idx"), F.col("embedding").alias("emb")))
     return V.rank_scores(scores, k, digits=9).withColumnRenamed("idx", "doc_id")
 
 
-def _label_qrels(spark, sf):
-    q, c = _vectors(spark, sf)
+def _label_qrels(spark, sf, vectors=_vectors):
+    q, c = vectors(spark, sf)
     return q.select(F.col("vec_id").alias("qid"), "label").join(c.select(F.col("vec_id").alias("doc_id"), "label"), "label").select("qid", "doc_id", F.lit(1).alias("rel"))
 
 
 @_query(RANKED_SQL + "SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 100")
-def dense_topk(spark, sf):
-    return _ranked(spark, sf).select("qid", "doc_id", "rank", F.round(F.round("score", 9), 6).alias("score"))
+def dense_topk(spark, sf, vectors=_vectors):
+    return _ranked(spark, sf, vectors=vectors).select("qid", "doc_id", "rank", F.round(F.round("score", 9), 6).alias("score"))
 
 
 @_query(RANKED_SQL + "SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
-def block_topk(spark, sf):
-    q, c = _vectors(spark, sf)
+def block_topk(spark, sf, vectors=_vectors):
+    q, c = vectors(spark, sf)
     rows = V.block_topk(q.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("emb")), c.select(F.col("vec_id").alias("idx"), F.col("embedding").alias("emb")), 10)
     return rows.select("qid", F.col("idx").alias("doc_id"), "rank")
 
 
 @_query(RANKED_SQL + "SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank FROM r")
-def full_ranking(spark, sf):
-    return _ranked(spark, sf, None).select("qid", "doc_id", "rank")
+def full_ranking(spark, sf, vectors=_vectors):
+    return _ranked(spark, sf, None, vectors).select("qid", "doc_id", "rank")
 
 
 METRIC_SQL = RANKED_SQL + """, n AS (SELECT qid, count(*) AS n FROM s WHERE ql = cl GROUP BY qid),
@@ -242,22 +242,22 @@ m AS (SELECT q.qid, k.k,
 
 
 @_query(METRIC_SQL + "SELECT qid, CAST(k AS INTEGER) AS k, round(ndcg, 6) AS ndcg, round(precision, 6) AS precision, round(recall, 6) AS recall FROM m")
-def retrieval_metrics_by_query(spark, sf):
-    q, _ = _vectors(spark, sf)
-    rows = M.ranking_by_query(_ranked(spark, sf), _label_qrels(spark, sf), q.select(F.col("vec_id").alias("qid")))
+def retrieval_metrics_by_query(spark, sf, vectors=_vectors):
+    q, _ = vectors(spark, sf)
+    rows = M.ranking_by_query(_ranked(spark, sf, vectors=vectors), _label_qrels(spark, sf, vectors), q.select(F.col("vec_id").alias("qid")))
     return rows.select("qid", "k", *[F.round(m, 6).alias(m) for m in ("ndcg", "precision", "recall")])
 
 
 @_query(METRIC_SQL + "SELECT CAST(k AS INTEGER) AS k, round(avg(ndcg), 6) AS ndcg, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall FROM m GROUP BY k")
-def retrieval_metrics(spark, sf):
-    q, _ = _vectors(spark, sf)
-    means = M.ranking_means(M.ranking_by_query(_ranked(spark, sf), _label_qrels(spark, sf), q.select(F.col("vec_id").alias("qid"))))
+def retrieval_metrics(spark, sf, vectors=_vectors):
+    q, _ = vectors(spark, sf)
+    means = M.ranking_means(M.ranking_by_query(_ranked(spark, sf, vectors=vectors), _label_qrels(spark, sf, vectors), q.select(F.col("vec_id").alias("qid"))))
     return means.select("k", *[F.round(m, 6).alias(m) for m in ("ndcg", "precision", "recall")])
 
 
 @_query(RANKED_SQL + ", p AS (SELECT qid, min(rank) FILTER (ql = cl) AS pos FROM r GROUP BY qid) SELECT " + ", ".join(f"round(avg(CASE WHEN pos <= {k} THEN 1.0 ELSE 0 END), 6) AS hits_{k}" for k in (1, 3, 5, 10)) + ", round(avg(coalesce(1 / pos, 0)), 6) AS mrr FROM p")
-def hits_mrr(spark, sf):
-    first = _ranked(spark, sf, None).join(_label_qrels(spark, sf), ["qid", "doc_id"]).groupBy("qid").agg(F.min("rank").alias("pos"))
+def hits_mrr(spark, sf, vectors=_vectors):
+    first = _ranked(spark, sf, None, vectors).join(_label_qrels(spark, sf, vectors), ["qid", "doc_id"]).groupBy("qid").agg(F.min("rank").alias("pos"))
     rows = first.agg(*M.hits_mrr(F.col("pos")))
     return rows.select(*[F.round(c, 6).alias(c) for c in rows.columns])
 
@@ -288,9 +288,9 @@ def mean_fusion_norm_first(spark, sf):
 
 
 @_query(RANKED_SQL + ", i AS (SELECT qid, doc_id, round(list_cosine_similarity(list_reverse(CAST(a AS DOUBLE[])), CAST(b AS DOUBLE[])), 9) AS si FROM q, c WHERE doc_id % 3 <> 0), w AS (SELECT s.qid, s.doc_id, round(0.25 * score + 0.75 * coalesce(si, 0), 8) AS score FROM s LEFT JOIN i USING (qid, doc_id)), x AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM w) SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank FROM x WHERE rank <= 10")
-def weighted_fusion(spark, sf):
-    q, c = _vectors(spark, sf)
-    text = _ranked(spark, sf, None).select("qid", F.col("doc_id").alias("idx"), F.round("score", 9).alias("score"))
+def weighted_fusion(spark, sf, vectors=_vectors):
+    q, c = vectors(spark, sf)
+    text = _ranked(spark, sf, None, vectors).select("qid", F.col("doc_id").alias("idx"), F.round("score", 9).alias("score"))
     image = V.dense_scores(q.select(F.col("vec_id").alias("qid"), F.reverse("embedding").alias("emb")), c.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("emb")))
     scores = R.weighted_scores(text, image.withColumn("score", F.round("score", 9)))
     return V.rank_scores(scores, 10, digits=8).select("qid", F.col("idx").alias("doc_id"), "rank")
@@ -300,8 +300,8 @@ def weighted_fusion(spark, sf):
 h AS (SELECT qid, head, row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_similarity(list_reverse(CAST(a AS DOUBLE[])), CAST(v AS DOUBLE[])), 9) DESC, head) AS hr FROM q, hd),
 x AS (SELECT s.qid, s.doc_id, row_number() OVER (PARTITION BY s.qid ORDER BY score DESC, doc_id) AS rank FROM s JOIN h ON h.qid = s.qid AND h.head = s.cl AND hr <= 3)
 SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank FROM x WHERE rank <= 10""")
-def two_stage_anchor(spark, sf):
-    q, c = _vectors(spark, sf)
+def two_stage_anchor(spark, sf, vectors=_vectors):
+    q, c = vectors(spark, sf)
     head = c.where("vec_id % 2 = 0").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("head_emb"))
     corpus = c.join(head, "label").select(F.col("vec_id").alias("idx"), F.col("label").alias("head"), F.col("embedding").alias("text_emb"), "head_emb")
     queries = q.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("text_emb"), F.reverse("embedding").alias("image_emb"))
@@ -309,18 +309,38 @@ def two_stage_anchor(spark, sf):
 
 
 @_query(RANKED_SQL + ", d AS (SELECT qid, cl, score, doc_id, row_number() OVER (PARTITION BY qid, cl ORDER BY score DESC, doc_id) AS n FROM s), x AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM d WHERE n = 1) SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank FROM x WHERE rank <= 6")
-def anchor_legacy(spark, sf):
-    scores = _ranked(spark, sf, None).join(_t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("text")), "doc_id")
+def anchor_legacy(spark, sf, vectors=_vectors):
+    scores = _ranked(spark, sf, None, vectors).join(_t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("text")), "doc_id")
     rows = R.anchor_by_text(scores.select("qid", F.col("doc_id").alias("idx"), F.round("score", 9).alias("score"), "text"), 8, 2, 3, 100)
     return rows.select("qid", F.col("idx").alias("doc_id"), "rank")
 
 
 @_query()
-def random_retriever(spark, sf):
-    q, c = _vectors(spark, sf)
+def random_retriever(spark, sf, vectors=_vectors):
+    q, c = vectors(spark, sf)
     return R.random_topk(q.select(F.col("vec_id").alias("qid")), c.count(), 10)
 
 
+def _every_hundredth(spark, sf):
+    """Every row whose id is divisible by 100, against all rows."""
+    e = _t(spark, sf, "embeddings")
+    return e.where(F.col("vec_id") % 100 == 0), e
+
+
+HUNDREDTH_SQL = RANKED_SQL.replace(f"WHERE vec_id < {N_QUERIES}", "WHERE vec_id % 100 = 0").replace(f" WHERE vec_id >= {N_QUERIES}", "")
+
+
+def _hundredth(f) -> None:
+    name = f"{f.__name__}_hundredth"
+    QUERIES[name] = lambda spark, sf: f(spark, sf, vectors=_every_hundredth)
+    if f.__name__ in ORACLES:
+        ORACLES[name] = ORACLES[f.__name__].replace(RANKED_SQL, HUNDREDTH_SQL)
+
+
+for _f in (dense_topk, block_topk, full_ranking, retrieval_metrics, retrieval_metrics_by_query, hits_mrr, weighted_fusion, two_stage_anchor, anchor_legacy, random_retriever):
+    _hundredth(_f)
+
+
 # --- answers ------------------------------------------------------------------------------------
 
 TURNS_SQL = """WITH t AS (SELECT a.conv_id, a.turn, a.text AS pred, b.text AS gold FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),

@@ -110,3 +110,14 @@ def test_splits_partition_the_queries(spark):
         ids = [r.qid for p in parts.values() for r in p[f"{name}_queries"].collect()]
         assert sorted(ids) == list(range(n))
     assert parts["val"]["mm_corpus"].first().image_path == "b/c.jpg"
+
+
+def test_hundredth_queries_search_every_row(spark, tmp_path):
+    """The query set grows with the table, and query rows can be returned."""
+    from quillgraph.queries import QUERIES
+
+    rows = [(i, i % 3, [float(i % 7 + 1), float(i % 11 + 1)]) for i in range(301)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = QUERIES["full_ranking_hundredth"](spark, str(tmp_path)).collect()
+    assert {r.qid for r in found} == {0, 100, 200, 300} and len(found) == 4 * 301
+    assert {r.qid for r in QUERIES["random_retriever_hundredth"](spark, str(tmp_path)).collect()} == {0, 100, 200, 300}
