@@ -364,8 +364,8 @@ TOKENS = {
 
 
 @_query(TURNS_SQL + f", n AS (SELECT conv_id, turn, {LIGHT.format('p')} AS p, {LIGHT.format('g')} AS g FROM w) SELECT conv_id, turn, CASE WHEN g <> '' AND p = g THEN 1.0 ELSE 0.0 END::DOUBLE AS em, CASE WHEN g <> '' AND contains(p, g) THEN 1.0 ELSE 0.0 END::DOUBLE AS contains FROM n")
-def em_contains(spark, sf):
-    return _turns(spark, sf).select("conv_id", "turn", M.exact_match(F.col("p"), F.col("g")).alias("em"), M.contains(F.col("p"), F.col("g")).alias("contains"))
+def em_contains(spark, sf, turns=_turns):
+    return turns(spark, sf).select("conv_id", "turn", M.exact_match(F.col("p"), F.col("g")).alias("em"), M.contains(F.col("p"), F.col("g")).alias("contains"))
 
 
 def _of(template: str, name: str) -> str:
@@ -380,13 +380,13 @@ SELECT conv_id, turn, round(CASE WHEN n = 0 AND m = 0 THEN 1 WHEN n = 0 OR m = 0
 
 
 @_query(_f1_sql("g", "1e-12"))
-def token_f1_g(spark, sf):
-    return _turns(spark, sf).select("conv_id", "turn", F.round(M.token_f1(F.col("p"), F.col("g")), 6).alias("f1"))
+def token_f1_g(spark, sf, turns=_turns):
+    return turns(spark, sf).select("conv_id", "turn", F.round(M.token_f1(F.col("p"), F.col("g")), 6).alias("f1"))
 
 
 @_query(_f1_sql("m", "0"))
-def token_f1_m(spark, sf):
-    return _turns(spark, sf).select("conv_id", "turn", F.round(M.token_f1(F.col("p"), F.col("g"), light=True), 6).alias("f1"))
+def token_f1_m(spark, sf, turns=_turns):
+    return turns(spark, sf).select("conv_id", "turn", F.round(M.token_f1(F.col("p"), F.col("g"), light=True), 6).alias("f1"))
 
 
 def _bleu_sql(tokens: str, smooth: int = 1) -> str:
@@ -399,32 +399,58 @@ FROM l {' '.join(f'LEFT JOIN g{n} ON g{n}.conv_id = l.conv_id AND g{n}.turn = l.
 
 
 @_query(TURNS_SQL + _bleu_sql(TOKENS["g"]))
-def bleu4_g(spark, sf):
-    return _turns(spark, sf).select("conv_id", "turn", F.round(M.bleu4(F.col("p"), F.col("g")), 6).alias("bleu"))
+def bleu4_g(spark, sf, turns=_turns):
+    return turns(spark, sf).select("conv_id", "turn", F.round(M.bleu4(F.col("p"), F.col("g")), 6).alias("bleu"))
 
 
 @_query(TURNS_SQL + _bleu_sql("regexp_extract_all(" + LIGHT + ", '[a-z0-9]+')"))
-def bleu4_m(spark, sf):
-    return _turns(spark, sf).select("conv_id", "turn", F.round(M.bleu4(F.col("p"), F.col("g"), light=True), 6).alias("bleu"))
+def bleu4_m(spark, sf, turns=_turns):
+    return turns(spark, sf).select("conv_id", "turn", F.round(M.bleu4(F.col("p"), F.col("g"), light=True), 6).alias("bleu"))
 
 
 @_query(TURNS_SQL + _bleu_sql("list_filter(string_split(array_to_string(" + TOKENS["g"] + ", ' '), ''), lambda x: x <> '')", 0))
-def char_bleu(spark, sf):
-    return _turns(spark, sf).select("conv_id", "turn", F.round(M.char_bleu(F.col("p"), F.col("g")), 6).alias("bleu"))
+def char_bleu(spark, sf, turns=_turns):
+    return turns(spark, sf).select("conv_id", "turn", F.round(M.char_bleu(F.col("p"), F.col("g")), 6).alias("bleu"))
 
 
 @_query(TURNS_SQL + f", n AS (SELECT conv_id, turn, {LIGHT.format('p')} AS p, {LIGHT.format('g')} AS g FROM w) SELECT conv_id, turn, 1.0::DOUBLE AS em, 1.0::DOUBLE AS contains FROM n")
-def score_best(spark, sf):
-    rows = _turns(spark, sf).select("conv_id", "turn", F.col("p").alias("pred_text"), F.array("g", "p").alias("golds"))
+def score_best(spark, sf, turns=_turns):
+    rows = turns(spark, sf).select("conv_id", "turn", F.col("p").alias("pred_text"), F.array("g", "p").alias("golds"))
     return M.score_answers(rows, "best").select("conv_id", "turn", "em", "contains")
 
 
 @_query(TURNS_SQL + f", n AS (SELECT conv_id, turn, {LIGHT.format('p')} AS p, {LIGHT.format('''g || chr(10) || 'zz' ''')} AS g FROM w) SELECT conv_id, turn, CASE WHEN p = g THEN 1.0 ELSE 0.0 END::DOUBLE AS em, CASE WHEN contains(p, g) THEN 1.0 ELSE 0.0 END::DOUBLE AS contains FROM n")
-def score_joined(spark, sf):
-    rows = _turns(spark, sf).select("conv_id", "turn", F.col("p").alias("pred_text"), F.array(F.col("g"), F.lit("zz")).alias("golds"))
+def score_joined(spark, sf, turns=_turns):
+    rows = turns(spark, sf).select("conv_id", "turn", F.col("p").alias("pred_text"), F.array(F.col("g"), F.lit("zz")).alias("golds"))
     return M.score_answers(rows, "joined", light=False).select("conv_id", "turn", "em", "contains")
 
 
+def _whole_turns(spark, sf):
+    """Every turn's full text as the prediction, the full next turn as the gold."""
+    c = _t(spark, sf, "conversations")
+    return c.select("conv_id", "turn", F.col("text").alias("p")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("g")), ["conv_id", "turn"])
+
+
+WHOLE_TURNS_SQL = """WITH w AS (SELECT a.conv_id, a.turn, a.text AS p, b.text AS g FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+"""
+
+
+def _whole(f) -> None:
+    name = f"{f.__name__}_whole"
+    QUERIES[name] = lambda spark, sf: f(spark, sf, turns=_whole_turns)
+    ORACLES[name] = ORACLES[f.__name__].replace(TURNS_SQL, WHOLE_TURNS_SQL)
+
+
+for _f in (em_contains, token_f1_g, token_f1_m, bleu4_g, bleu4_m, char_bleu, score_joined):
+    _whole(_f)
+
+
+@_query(WHOLE_TURNS_SQL + f", n AS (SELECT conv_id, turn, {LIGHT.format('p')} AS p, {LIGHT.format('g')} AS g FROM w) SELECT conv_id, turn, CASE WHEN g <> '' AND p = g OR p = 'zz' THEN 1.0 ELSE 0.0 END::DOUBLE AS em, CASE WHEN g <> '' AND contains(p, g) OR contains(p, 'zz') THEN 1.0 ELSE 0.0 END::DOUBLE AS contains FROM n")
+def score_best_whole(spark, sf):
+    rows = _whole_turns(spark, sf).select("conv_id", "turn", F.col("p").alias("pred_text"), F.array(F.col("g"), F.lit("zz")).alias("golds"))
+    return M.score_answers(rows, "best").select("conv_id", "turn", "em", "contains")
+
+
 @_query("SELECT avg((quality = toxic)::INTEGER) AS accuracy, count(*) FILTER (quality = 1 AND toxic = 1) / nullif(count(*) FILTER (toxic = 1), 0) AS precision, count(*) FILTER (quality = 1 AND toxic = 1) / nullif(count(*) FILTER (quality = 1), 0) AS recall, 2 * count(*) FILTER (quality = 1 AND toxic = 1) / (count(*) FILTER (toxic = 1) + count(*) FILTER (quality = 1)) AS f1 FROM labels".replace("SELECT avg", "SELECT round(avg").replace(" AS accuracy,", ", 9) AS accuracy, round(").replace(" AS precision,", ", 9) AS precision, round(").replace(" AS recall,", ", 9) AS recall, round(").replace(" AS f1", ", 9) AS f1"))
 def closed_metrics(spark, sf):
     rows = _t(spark, sf, "labels").agg(*M.closed_metrics(F.col("quality"), F.col("toxic")))
