@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
 def unit(a: Column, eps: float = 1e-12) -> Column:
-    """L2-normalised vector."""
-    size = F.greatest(norm(a), F.lit(eps))
-    return F.transform(a, lambda x: x.cast("double") / size)
+    """L2-normalised vector; the norm is taken once a row."""
+    return let(a, lambda v: let(F.greatest(norm(v), F.lit(eps)), lambda size: F.transform(v, lambda x: x.cast("double") / size)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -28,24 +29,27 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def mean_of(*vectors: Column) -> Column:
-    """Element-wise mean of the vectors that are not null."""
-    present = F.filter(F.array(*vectors), lambda v: v.isNotNull())
-    total = F.aggregate(
-        F.slice(present, 2, len(vectors)),
-        F.transform(F.get(present, F.lit(0)), lambda x: x.cast("double")),
-        lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y.cast("double")),
-    )
-    return F.when(F.size(present) > 0, F.transform(total, lambda x: x / F.size(present)))
+    """Element-wise mean of the vectors that are not null; null if none is."""
+
+    def total(present: Column) -> Column:
+        start = F.transform(F.get(present, F.lit(0)), lambda x: x.cast("double"))
+        return F.aggregate(F.slice(present, 2, len(vectors)), start, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y.cast("double")))
+
+    def mean(present: Column) -> Column:
+        both = F.struct(total(present).alias("v"), F.size(present).alias("n"))
+        return let(both, lambda t: F.transform(t["v"], lambda x: x / t["n"]))
+
+    return let(F.filter(F.array(*vectors), lambda v: v.isNotNull()), lambda present: F.when(F.size(present) > 0, mean(present)))
 
 
 def fuse(*vectors: Column, norm_first: bool) -> Column:
     """Unit mean of the present vectors, each normalised before if ``norm_first``."""
-    return unit(mean_of(*[F.when(v.isNotNull(), unit(v)) if norm_first else v for v in vectors]))
+    return unit(mean_of(*[unit(v) if norm_first else v for v in vectors]))
 
 
 def side_mean(*vectors: Column) -> Column:
     """Mean of unit vectors, not normalised again (image side of an anchor triplet)."""
-    return mean_of(*[F.when(v.isNotNull(), unit(v)) for v in vectors])
+    return mean_of(*[unit(v) for v in vectors])
 
 
 def late_fusion(text: Column, image: Column, w_text: float = 0.25, w_image: float = 0.75, agreement: float = 0.0) -> Column:
@@ -60,62 +64,68 @@ def rank_scores(scores: DataFrame, k: int | None, query: str = "qid", item: str
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
-def dense_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Cosine of every (``qid``, ``emb``) with every (``idx``, ``emb``), as a plain expression.
+def _in_blocks(df: DataFrame, name: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with a block number ``name`` of about ``rows`` rows each, one row with the number of blocks)."""
+    count = df.agg(F.greatest(F.ceil(F.count("*") / rows), F.lit(1)).cast("int").alias(f"{name}_n"))
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(f"{name}_n")).cast("int")
+    return df.crossJoin(F.broadcast(count)).withColumn(name, place).drop(f"{name}_n"), count
 
-    For a stated, small query set against all rows: the queries are the
-    broadcast side only while Spark's own size estimate allows it.
-    """
-    q = queries.select("qid", unit(F.col("emb")).alias("_q"))
-    c = corpus.select("idx", unit(F.col("emb")).alias("_c"))
-    return c.crossJoin(q).select("qid", "idx", dot(F.col("_q"), F.col("_c")).alias("score"))
 
+def block_product(
+    queries: DataFrame, corpus: DataFrame, columns: dict[str, bool], combine: Callable[..., np.ndarray], k: int | None, digits: int | None = None, block: int = 4096, corpus_block: int = 32768
+) -> DataFrame:
+    """Scores of every query with every corpus row: ``qid``, ``idx``, ``score``, the best ``k`` a query (all if null).
 
-def block_topk(queries: DataFrame, corpus: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """Top ``k`` per query by matrix products: ``qid``, ``idx``, ``score``, ``rank``.
+    ``columns`` names the vector columns of both sides and whether the corpus
+    vectors are made unit vectors (queries always are); ``combine`` takes one
+    matrix of dot products a column, in which a missing vector counts as 0.
 
-    Queries go through in blocks of ``block`` (one broadcast each, so its size
-    is bounded by the parameter); each task keeps its best ``k`` per query
-    before the shuffle that merges them. Ties go to the smaller ``idx``.
+    Both sides are dealt into blocks, every pair of blocks is one group of
+    bounded size, and only the best ``k`` of a pair are shuffled to be merged.
+    Nothing passes through the driver. Both inputs are read twice (for their
+    counts), so computed vectors should be stored first. With ``digits``, scores
+    are rounded before they are compared; ties go to the smaller ``idx``.
     """
-    if k <= 0:
-        return queries.select("qid").limit(0).select("qid", F.lit(0).cast("long").alias("idx"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    spark = queries.sparkSession
+    names = list(columns)
     kinds = {c: d.schema[c].dataType.simpleString() for d, c in ((queries, "qid"), (corpus, "idx"))}
-    out, held = None, []
+    q, q_count = _in_blocks(queries.select("qid", *names), "_q", block)
+    c, c_count = _in_blocks(corpus.select("idx", *names), "_c", corpus_block)
+    each = lambda df, count, name: df.crossJoin(F.broadcast(count)).withColumn(name, F.explode(F.sequence(F.lit(0), F.col(f"{name}_n") - 1))).drop(f"{name}_n")
+    q, c = each(q, c_count, "_c"), each(c, q_count, "_q")
+
+    def matrix(values: list, unit_rows: bool) -> np.ndarray:
+        width = next((len(v) for v in values if v is not None), 1)
+        out = np.array([np.zeros(width) if v is None else v for v in values], np.float64)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12) if unit_rows else out
 
-    def part(rows: list) -> DataFrame:
+    def run(left, right):
         import pandas as pd
 
-        matrix = np.array([r.emb for r in rows], np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-        shared = spark.sparkContext.broadcast((np.array([r.qid for r in rows]), matrix))
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            best = None
-            for frame in frames:
-                if frame.empty:
-                    continue
-                c = np.stack(frame["emb"].to_numpy()).astype(np.float64)
-                c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-                scores, idx = q @ c.T, np.broadcast_to(frame["idx"].to_numpy(), (len(ids), len(frame)))
-                if best is not None:
-                    scores, idx = np.hstack((best[0], scores)), np.hstack((best[1], idx))
-                order = np.lexsort((idx, -scores), axis=1)[:, :k]
-                best = np.take_along_axis(scores, order, 1), np.take_along_axis(idx, order, 1)
-            if best is not None:
-                yield pd.DataFrame({"qid": np.repeat(ids, best[0].shape[1]), "idx": best[1].ravel(), "score": best[0].ravel()})
-
-        return corpus.select("idx", "emb").mapInPandas(run, f"qid {kinds['qid']}, idx {kinds['idx']}, score double")
-
-    for row in queries.select("qid", "emb").toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            out = part(held) if out is None else out.unionByName(part(held))
-            held = []
-    if held:
-        out = part(held) if out is None else out.unionByName(part(held))
-    if out is None:
-        return block_topk(queries, corpus, 0)
-    return rank_scores(out, k)
+        if left.empty or right.empty:
+            return pd.DataFrame({"qid": left["qid"][:0], "idx": right["idx"][:0], "score": np.zeros(0)})
+        products = []
+        for name, unit_rows in columns.items():
+            a, b = matrix(list(left[name]), True), matrix(list(right[name]), unit_rows)
+            products.append(a @ b.T if a.shape[1] == b.shape[1] else np.zeros((len(a), len(b))))
+        scores = combine(*products)
+        if digits is not None:
+            scores = np.round(scores, digits)
+        ids = right["idx"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        scores, ids = scores[:, order], ids[order]
+        if k is not None and k < len(ids):
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            scores, picked = np.take_along_axis(scores, best, 1), ids[best]
+        else:
+            picked = np.broadcast_to(ids, scores.shape)
+        return pd.DataFrame({"qid": np.repeat(left["qid"].to_numpy(), scores.shape[1]), "idx": picked.ravel(), "score": scores.ravel()})
+
+    key = ["_q", "_c"]
+    return q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(run, f"qid {kinds['qid']}, idx {kinds['idx']}, score double")
+
+
+def block_topk(queries: DataFrame, corpus: DataFrame, k: int | None, digits: int | None = None, **blocks) -> DataFrame:
+    """Top ``k`` per query (all if null) by cosine of (``qid``, ``emb``) with (``idx``, ``emb``): ``qid``, ``idx``, ``score``, ``rank``."""
+    if k is not None and k <= 0:
+        return queries.select("qid").limit(0).join(corpus.select("idx").limit(0), F.lit(True)).select("qid", "idx", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    return rank_scores(block_product(queries, corpus, {"emb": True}, lambda s: s, k, digits, **blocks), k)

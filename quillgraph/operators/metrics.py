@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..functions.text import alnum_tokens, answer_tokens, drop_articles_anywhere, light_normalise, light_tokens
 
 KS = (5, 10, 20, 50, 100)
@@ -67,11 +68,6 @@ def contains(pred: Column, gold: Column) -> Column:
     return F.when((g != "") & F.contains(p, g), 1.0).otherwise(0.0)
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, not wherever it is mentioned."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _matched(a: Column, b: Column) -> Column:
     """Multiset overlap of two arrays."""
     count = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
@@ -84,10 +80,10 @@ def token_f1(pred: Column, gold: Column, light: bool = False) -> Column:
 
     def score(t: Column) -> Column:
         n, m, common = F.size(t["p"]), F.size(t["g"]), _matched(t["p"], t["g"])
-        f1 = _let(F.struct((common / n).alias("p"), (common / m).alias("r")), lambda x: F.when(x["p"] == 0, 0.0).otherwise(2 * x["p"] * x["r"] / (x["p"] + x["r"] + (0.0 if light else 1e-12))))
+        f1 = let(F.struct((common / n).alias("p"), (common / m).alias("r")), lambda x: F.when(x["p"] == 0, 0.0).otherwise(2 * x["p"] * x["r"] / (x["p"] + x["r"] + (0.0 if light else 1e-12))))
         return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(f1)
 
-    return _let(F.struct(p.alias("p"), g.alias("g")), score)
+    return let(F.struct(p.alias("p"), g.alias("g")), score)
 
 
 def _ngrams(tokens: Column, n: int) -> Column:
@@ -105,15 +101,15 @@ def bleu(pred_tokens: Column, gold_tokens: Column, smooth: bool = True, orders:
 
     def ratio(t: Column, n: int) -> Column:
         grams = F.struct(_ngrams(t["p"], n).alias("p"), _ngrams(t["g"], n).alias("g"))
-        return _let(grams, lambda z: F.when(F.size(z["p"]) == 0, 0.0).otherwise((_matched(z["p"], z["g"]) + extra) / (F.size(z["p"]) + extra)))
+        return let(grams, lambda z: F.when(F.size(z["p"]) == 0, 0.0).otherwise((_matched(z["p"], z["g"]) + extra) / (F.size(z["p"]) + extra)))
 
     def score(t: Column) -> Column:
         c, r = F.size(t["p"]), F.size(t["g"])
-        mean = _let(F.array(*[ratio(t, n) for n in range(1, orders + 1)]), lambda x: F.when(F.array_min(x) > 0, F.exp(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.log(v)) / orders)).otherwise(0.0))
+        mean = let(F.array(*[ratio(t, n) for n in range(1, orders + 1)]), lambda x: F.when(F.array_min(x) > 0, F.exp(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.log(v)) / orders)).otherwise(0.0))
         brevity = F.when(c > r, 1.0).otherwise(F.exp(1 - r / F.greatest(c, F.lit(1))))
         return F.when((c == 0) | (r == 0), 0.0).otherwise(brevity * mean)
 
-    return _let(F.struct(pred_tokens.alias("p"), gold_tokens.alias("g")), score)
+    return let(F.struct(pred_tokens.alias("p"), gold_tokens.alias("g")), score)
 
 
 def bleu4(pred: Column, gold: Column, light: bool = False) -> Column:
