@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import write_table
+from .shared import drop_tables, write_table
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if before[0] == 0:
             break
-        now = write_table(_small_star(_large_star(now)), "edges")
+        last, now = now, write_table(_small_star(_large_star(now)), "edges")
+        drop_tables(last)
         after = _signature(now)
         if after == before:
             break

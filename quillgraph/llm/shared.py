@@ -10,17 +10,36 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder as a URI or path."""
+    """The cluster's shared checkpoint folder as a full URI.
+
+    Where the setting is missing, a temporary folder serves a local session;
+    on a cluster it would not be shared, so that is an error.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quillgraph.shared.dir", None)
     if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "quillgraph-shared")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="quillgraph-shared-")
         spark.conf.set("quillgraph.shared.dir", found)
-    return found.rstrip("/")
+    return _qualified(spark, found.rstrip("/"))
+
+
+def _path(spark: SparkSession, path: str):
+    """(Hadoop file system, Hadoop path)."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark itself would take, so that workers open the same file system."""
+    files, where = _path(spark, path)
+    return files.makeQualified(where).toString()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -37,7 +56,18 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables of ``write_table`` that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "stored_at", None)
+        if path:
+            files, where = _path(table.sparkSession, path)
+            files.delete(where, True)
 
 
 def filesystem(uri: str):
@@ -48,9 +78,28 @@ def filesystem(uri: str):
         return fs.LocalFileSystem(), uri
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    scheme, rest = uri.split("://", 1)
+    return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once a row, not once wherever it is mentioned."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def bounded_sample(rows: DataFrame, label: str, per_label: int, max_chars: int) -> list[Row]:
+    """At most ``per_label`` rows of each label, whole texts of at most ``max_chars`` characters in all, by the smallest hash of ``doc_id``.
+
+    ``rows`` has ``doc_id``, the label and ``text``; the choice depends on ids
+    and lengths alone. Of rows that repeat an id with one label the least text
+    is taken. Hashes are uniform, so a bound on the hash leaves about twice the
+    wanted rows of each label, which alone are ranked. Texts beyond what is left
+    of ``max_chars`` end a label's sample.
+    """
+    totals = {r[0]: r.n for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    bounds = {k: -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 2 * per_label // n) for k, n in totals.items()}
+    if not bounds:
+        return []
+    h = F.xxhash64("doc_id")
+    near = F.lit(False)
+    for k, bound in bounds.items():
+        near = near | ((F.col(label) == F.lit(k)) & (h <= F.lit(bound)))
+    once = rows.where(near).groupBy("doc_id", label).agg(F.min("text").alias("text"))
+    by = Window.partitionBy(label).orderBy(h, "doc_id")
+    ranked = once.withColumns({"_n": F.row_number().over(by), "_c": F.sum(F.length(F.coalesce("text", F.lit("")))).over(by)})
+    return ranked.where((F.col("_n") <= per_label) & (F.col("_c") <= max_chars)).select("doc_id", label, "text").collect()

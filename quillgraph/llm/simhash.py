@@ -23,13 +23,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import write_table
 
 BITS = 64
+PIVOTS = 16
 SEED, SECOND_SEED = 42, 43
 SPLIT = r"[\x20\x09-\x0D]+"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -114,13 +115,16 @@ def block_count(rows: int, max_bits: int = 4, chance: float = 1) -> int:
 class PivotTable:
     """Block layout, pivots and the column expressions of the distance table."""
 
-    def __init__(self, blocks: int, max_bits: int = 4):
+    def __init__(self, blocks: int, max_bits: int = 4, pivots: int = PIVOTS):
         self.max_bits = max_bits
         cuts = [round(i * BITS / blocks) for i in range(blocks + 1)]
         self.blocks = [(a, b - a) for a, b in itertools.pairwise(cuts)]
-        refs = {w: resolving_references(w) for w in {w for _, w in self.blocks}}
-        self.pivots = max(map(len, refs.values()))
-        self.refs = [[refs[w][j % len(refs[w])] for j in range(self.pivots)] for _, w in self.blocks]
+        resolving = {w: resolving_references(w) for w in {w for _, w in self.blocks}}
+        self.resolving = max(map(len, resolving.values()))
+        self.pivots = max(pivots, self.resolving)
+        rng = np.random.default_rng(11)
+        more = rng.integers(0, 1 << 32, size=(blocks, self.pivots), dtype=np.uint64).tolist()
+        self.refs = [[*resolving[w], *[x % (1 << w) for x in extra]][: self.pivots] for (_, w), extra in zip(self.blocks, more, strict=True)]
 
     def _distance(self, fp, block: int, j: int):
         shift, width = self.blocks[block]
@@ -132,25 +136,33 @@ class PivotTable:
         out = []
         for b in range(len(self.blocks)):
             packed = F.lit(0).cast("long")
-            for j in range(self.pivots):
+            for j in range(self.resolving):
                 packed = packed.bitwiseOR(F.shiftleft(self._distance(fp, b, j).cast("long"), 4 * j))
             out.append(packed)
         return F.array(*out)
 
     def coordinates(self, fp):
-        """Long of the distances to all pivots, eight bits each; a distance is the sum over its blocks."""
-        packed = F.lit(0).cast("long")
-        for j in range(self.pivots):
-            whole = sum((self._distance(fp, b, j) for b in range(1, len(self.blocks))), self._distance(fp, 0, j))
-            packed = packed.bitwiseOR(F.shiftleft(whole.cast("long"), 8 * j))
-        return packed
-
-    def within(self, x, y):
-        """Whether no coordinate of two packed rows differs by more than ``max_bits``."""
-        at = lambda c, j: F.shiftrightunsigned(c, 8 * j).bitwiseAND(F.lit(0xFF).cast("long"))
+        """Array of longs with the distances to all pivots, eight bits each; a pivot is one number, its distance one popcount."""
+        words = []
+        for first in range(0, self.pivots, 8):
+            packed = F.lit(0).cast("long")
+            for j in range(first, min(first + 8, self.pivots)):
+                distance = F.bit_count(fp.bitwiseXOR(F.lit(self.pivot(j)).cast("long")))
+                packed = packed.bitwiseOR(F.shiftleft(distance.cast("long"), 8 * (j - first)))
+            words.append(packed)
+        return F.array(*words)
+
+    def pivot(self, j: int) -> int:
+        """Pivot ``j`` as a signed long: its references of all blocks side by side."""
+        x = sum(refs[j] << shift for refs, (shift, _) in zip(self.refs, self.blocks, strict=True))
+        return x - (1 << BITS) if x >> (BITS - 1) else x
+
+    def within(self, x, y, reach: int | None = None):
+        """Whether no coordinate of two packed rows differs by more than ``reach`` (``max_bits`` if not given)."""
+        at = lambda c, j: F.shiftrightunsigned(F.get(c, F.lit(j // 8)), 8 * (j % 8)).bitwiseAND(F.lit(0xFF).cast("long"))
         out = F.lit(True)
         for j in range(self.pivots):
-            out = out & (F.abs(at(x, j) - at(y, j)) <= self.max_bits)
+            out = out & (F.abs(at(x, j) - at(y, j)) <= (self.max_bits if reach is None else reach))
         return out
 
     def keys(self, coords):
@@ -224,9 +236,10 @@ def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     kept = write_table(kept.select("doc_id", "n"), "simhash-kept")
     out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
     if kept.where("n > 1").limit(1).count():
-        order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-        out = out.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.groupBy("doc_id").agg(F.min(row).alias("row")).select("row.*")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*names).unionByName(docs.where("doc_id is null").select(*names))
 
 
 def keep_one_of_each_group(docs: DataFrame, **options) -> DataFrame:
