@@ -156,20 +156,23 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_windows:
     """``docs`` without contaminated rows; in the rows that stay, words hit by a window are removed from the text.
 
     A removed word leaves the characters between words in place. Rows without a
-    hit are returned unchanged, null texts included.
+    hit are returned unchanged, null texts included; repeated rows are treated
+    alike. All input columns stay, whatever their names.
     """
-    found, _ = scan(docs, benchmark, size, max_windows)
+    found, _ = scan(docs.select("text", F.struct("*").alias("row")), benchmark, size, max_windows)
     # Stored, since a filter on the hits would be pushed below their computation and repeat it.
-    found = write_table(found.withColumn("_n", F.size("_w")).withColumn("_hit", hit_words(F.col("_hits"))).drop("_w"), "scanned")
-    cased = F.regexp_extract_all("text", F.lit(CASED_WORD), 0)
-    gaps = F.split("text", CASED_WORD, -1)
+    found = write_table(found.select("row", F.size("_w").alias("_n"), hit_words(F.col("_hits")).alias("_hit"), "_hits"), "scanned")
+    text = F.col("row.text")
+    cased = F.regexp_extract_all(text, F.lit(CASED_WORD), 0)
+    gaps = F.split(text, CASED_WORD, -1)
     covered = lambda i: F.exists("_hits", lambda c: (c["start"] <= i) & (i < c["start"] + c["n"]))
     kept = F.transform(cased, lambda word, i: F.concat(F.when(covered(i), F.lit("")).otherwise(word), F.get(F.col("_g"), i + 1)))
+    cleaned = F.when(F.size("_hits") > 0, F.concat(F.get("_g", F.lit(0)), F.array_join(kept, ""))).otherwise(text)
     return (
         found.where(~is_contaminated(F.col("_hit"), F.col("_n")))
         .withColumn("_g", F.when(F.size("_hits") > 0, gaps))
-        .withColumn("text", F.when(F.size("_hits") > 0, F.concat(F.get("_g", F.lit(0)), F.array_join(kept, ""))).otherwise(F.col("text")))
-        .select(*docs.columns)
+        .select(F.col("row").withField("text", cleaned).alias("row"))
+        .select("row.*")
     )
 
 

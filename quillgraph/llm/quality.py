@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import filesystem, new_path, write_table
+from .shared import drop_tables, filesystem, new_path, write_table
 from .toxicity import held_out
 
 ORDER = 5
@@ -143,7 +143,7 @@ def train(trusted: DataFrame, order: int = ORDER) -> Model:
     for n in range(order - 1, 0, -1):
         suffix = F.col("code").bitwiseAND(F.lit((1 << BITS * n) - 1))
         levels[n] = write_table(levels[n + 1].groupBy(suffix.alias("code")).agg(F.count("*").alias("n")), "ngrams")
-    lower, gammas, probs = None, [], []
+    lower, gammas, probs, tables = None, [], [], []
     for n in range(1, order + 1):
         d1, d2, d3 = discounts(levels[n])
         off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
@@ -156,10 +156,13 @@ def train(trusted: DataFrame, order: int = ORDER) -> Model:
             shorter = lower.select(F.col("code").alias("suffix"), F.col("p").alias("below"))
             table = joined.withColumn("suffix", F.col("code").bitwiseAND(F.lit((1 << BITS * (n - 1)) - 1))).join(shorter, "suffix").select("code", (F.col("own") + F.col("gamma") * F.col("below")).alias("p"))
         lower = write_table(table, "probabilities")
+        tables.append(lower)
         probs.append(lower.select(_key(n, F.col("code")).alias("key"), F.log("p").cast("float").alias("value")))
         gammas.append(context.select(_key(n, F.col("context")).alias("key"), F.log("gamma").cast("float").alias("value")))
     union = lambda tables: tables[0] if len(tables) == 1 else tables[0].unionByName(union(tables[1:]))
-    return Model(_write_shards(spark, union(probs), "model-p"), _write_shards(spark, union(gammas), "model-g"), order)
+    model = Model(_write_shards(spark, union(probs), "model-p"), _write_shards(spark, union(gammas), "model-g"), order)
+    drop_tables(*levels.values(), *tables)
+    return model
 
 
 class Shards:
@@ -248,65 +251,95 @@ class Scorer:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` plus ``_log_ppl``, the mean negative log probability of a character, and ``_chars`` (the end counts as one)."""
+    """``row`` (the input row), ``log_ppl``, the mean negative log probability of a character of its ``text``, and ``chars`` (the end counts as one)."""
     import pyarrow as pa
     from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
     at = docs.columns.index("text")
-    schema = StructType([*docs.schema.fields, StructField("_log_ppl", DoubleType()), StructField("_chars", LongType())])
+    schema = StructType([StructField("row", docs.schema), StructField("log_ppl", DoubleType()), StructField("chars", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
         for batch in batches:
             scorer = scorer or Scorer(model)
-            texts, values, chars = batch.column(at).to_pylist(), [np.zeros(0)], [np.zeros(0, np.int64)]
+            texts, values, chars = batch.column(0).field(at).to_pylist(), [np.zeros(0)], [np.zeros(0, np.int64)]
             for a, b in _groups(texts):
                 codes, sizes = ngram_codes(texts[a:b], model.order)
                 values.append(-np.add.reduceat(scorer(codes), np.cumsum(sizes) - sizes) / sizes)
                 chars.append(sizes)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(values)), pa.array(np.concatenate(chars))], names=[*batch.schema.names, "_log_ppl", "_chars"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(values)), pa.array(np.concatenate(chars))], names=["row", "log_ppl", "chars"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(F.struct("*").alias("row")).mapInArrow(run, schema)
 
 
 def _trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
-def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> Model:
-    """Train on the trusted documents that are not held out.
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Stored ``doc_id``, ``lang``, ``text`` of the trusted documents, for training and thresholds.
 
     The join is hashed by ``doc_id`` at every size, so that small label tables
     take the path that large ones need: a hash table of one partition's ids.
     """
-    ids = _trusted_ids(labels).where(~held_out(F.col("doc_id"))).hint("shuffle_hash")
-    return train(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), order)
+    rows = docs.select("doc_id", "lang", "text").join(_trusted_ids(labels).hint("shuffle_hash"), "doc_id", "left_semi")
+    return write_table(rows, "trusted")
 
 
-def _by_language(values: dict[str | None, float]):
+def fit(trusted: DataFrame, order: int = ORDER) -> Model:
+    """Train on the trusted documents that are not held out."""
+    return train(trusted.where(~held_out(F.col("doc_id"))), order)
+
+
+def _by_language(values: dict[str | None, float], lang):
     """Column: the value of the row's language, else that of all languages (key null)."""
     own = {k: v for k, v in values.items() if k is not None}
     general = F.lit(values.get(None)).cast("double")
     if not own:
         return general
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in own.items() for x in kv]), F.coalesce("lang", F.lit("und"))), general)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in own.items() for x in kv]), F.coalesce(lang, F.lit("und"))), general)
 
 
 def _quantiles(rows: DataFrame, value, quantile: float) -> dict[str | None, float]:
     """Quantile of each language and, under null, of all; a few numbers a language, pre-aggregated as sketches."""
     sketch = F.percentile_approx(value, quantile, 10_000).alias("q")
-    out = {r.k: r.q for r in rows.groupBy(F.coalesce("lang", F.lit("und")).alias("k")).agg(sketch).collect()}
+    out = {r.k: r.q for r in rows.groupBy(F.coalesce("row.lang", F.lit("und")).alias("k")).agg(sketch).collect()}
     return out | {None: rows.agg(sketch).first().q}
 
 
-def decide(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """Adds ``_statistic``, ``_limit`` and ``_keep``."""
-    ids = _trusted_ids(labels).where(held_out(F.col("doc_id")))
-    trusted = scored.select("doc_id", "lang", "_log_ppl", "_chars").join(ids, "doc_id", "left_semi")
-    centre = _by_language(_quantiles(trusted, F.col("_log_ppl"), 0.5))
-    statistic = (F.col("_log_ppl") * F.col("_chars") + PSEUDO * centre) / (F.col("_chars") + PSEUDO)
-    limit = _by_language(_quantiles(trusted, statistic, quantile)) + margin
-    return scored.withColumn("_statistic", statistic).withColumn("_limit", limit).withColumn("_keep", F.coalesce(F.col("_statistic") <= F.col("_limit"), F.lit(True)))
+@dataclass
+class Limits:
+    """Per language, and under null for all: the median log perplexity and the threshold of the shrunk one."""
+
+    centre: dict[str | None, float]
+    limit: dict[str | None, float]
+
+    def statistic(self):
+        """Shrunk log perplexity of a row of ``score``."""
+        return (F.col("log_ppl") * F.col("chars") + PSEUDO * _by_language(self.centre, F.col("row.lang"))) / (F.col("chars") + PSEUDO)
+
+    def threshold(self):
+        return _by_language(self.limit, F.col("row.lang"))
+
+    def keep(self):
+        return F.coalesce(self.statistic() <= self.threshold(), F.lit(True))
+
+
+def limits(trusted: DataFrame, model: Model, quantile: float = QUANTILE, margin: float = MARGIN) -> Limits:
+    """Thresholds from the trusted documents that are held out."""
+    scored = write_table(score(trusted.where(held_out(F.col("doc_id"))), model).select(F.struct("row.lang").alias("row"), "log_ppl", "chars"), "perplexity")
+    found = Limits(_quantiles(scored, F.col("log_ppl"), 0.5), {})
+    found.limit = {k: None if v is None else v + margin for k, v in _quantiles(scored, found.statistic(), quantile).items()}
+    drop_tables(scored)
+    return found
+
+
+def _fitted(docs: DataFrame, labels: DataFrame) -> tuple[Model, Limits]:
+    trusted = trusted_texts(docs, labels)
+    model = fit(trusted)
+    found = limits(trusted, model)
+    drop_tables(trusted)
+    return model, found
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -317,12 +350,17 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     takes the threshold of all such text; without any, every row is kept.
     Repeated rows are judged alike; extra columns are ignored.
     """
-    docs = docs.select("doc_id", "lang", "text")
-    scored = write_table(score(docs, fit(docs, labels)).drop("text"), "perplexity")
-    return decide(scored, labels).select("doc_id", "lang", F.exp("_log_ppl").alias("perplexity"), F.exp("_statistic").alias("shrunk"), F.exp("_limit").alias("threshold"), F.col("_keep").alias("keep"))
+    model, found = _fitted(docs, labels)
+    return score(docs.select("doc_id", "lang", "text"), model).select(
+        "row.doc_id", "row.lang", F.exp("log_ppl").alias("perplexity"), F.exp(found.statistic()).alias("shrunk"), F.exp(found.threshold()).alias("threshold"), found.keep().alias("keep")
+    )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; columns unchanged."""
-    scored = write_table(score(docs, fit(docs, labels)), "perplexity")
-    return decide(scored, labels).where("_keep").select(*docs.columns)
+    """``docs`` without the rows that the classifier rejects, by the rules of ``judge``; columns unchanged, whatever their names.
+
+    Null, empty and repeated rows are judged like any other; texts pass through
+    once, as the thresholds come from the trusted documents alone.
+    """
+    model, found = _fitted(docs, labels)
+    return score(docs, model).where(found.keep()).select("row.*")

@@ -159,11 +159,11 @@ def test_kneser_ney_by_definition(spark, corpus):
     model = train(spark.createDataFrame([(t,) for t in texts], "text string"), order=3)
     p = brute_kneser_ney(texts, 3)
     probe = [(0, texts[0]), (1, "kalo Q漢 zz"), (2, ""), (3, None)]
-    got = {r.doc_id: r for r in score(spark.createDataFrame(probe, "doc_id long, text string"), model).collect()}
+    got = {r.row.doc_id: r for r in score(spark.createDataFrame(probe, "doc_id long, text string"), model).collect()}
     for i, t in probe:
         s = [0, 0, *symbols(t or "").tolist(), END]
         want = -np.mean([math.log(p(tuple(s[k : k + 3]))) for k in range(len(s) - 2)])
-        assert got[i]._log_ppl == pytest.approx(want, rel=1e-5) and got[i]._chars == len(s) - 2
+        assert got[i].log_ppl == pytest.approx(want, rel=1e-5) and got[i].chars == len(s) - 2
     gap = sum(p((0, 0, w)) for w in range(4096))
     assert gap == pytest.approx(1)
 
