@@ -1,19 +1,29 @@
 r"""Secret scan: base patterns plus a randomness test battery. DataFrame functions only.
 
-Base spans come from three patterns. The battery looks at every other run of 20
-or more characters of ``[A-Za-z0-9+/_-]`` that holds a letter and a digit. Its encoding is
-inferred (hex, base 32, base 36, base 62, base 64) and three tests are made of
-its symbols against uniform random draws from that alphabet: chi-squared of the
-symbol counts (with the exact variance at this length), runs above and below
-the alphabet's middle, and lag-one serial correlation. The smallest of the
-three p values, times three, is the token's p value.
-
-A token is reported unless randomness is rejected. Rejections are controlled by
-Benjamini-Hochberg at ``fdr`` in strata of similar length (powers of two), so
-that the share of true keys among the discarded tokens stays below ``fdr`` at
-every length. The step-up threshold is taken over p values rounded up to a grid
-of ``GRID`` steps per power of two; only that histogram (strata times grid, a
-fixed bound) comes to the driver.
+Base spans come from three patterns. The battery looks at every run of
+``LEAST`` or more characters of ``[A-Za-z0-9+/_-]``, those inside base spans
+included. Its encoding is inferred (digits, hex, letters, base 32, 36, 62, 64)
+and two questions are put to it.
+
+Could it be random? Three tests are made of its symbols against uniform draws
+from that alphabet: chi-squared of the symbol counts (its tail from the exact
+first three moments at this length), runs above and below the alphabet's
+middle (with continuity correction), and lag-one serial correlation (with its
+variance at this length). The smallest p value, times three, is the token's p
+value; simulated draws of 12 to 64 symbols stay at or below every nominal level.
+
+Could it be written? In words, names, paths and numbers the kind of character
+(lower, upper, digit) seldom changes and rare letters are few, at most
+``WRITTEN`` of the places (``LETTERS`` in a token of letters alone). The count
+of such places bounds the p value by Chernoff's inequality.
+
+Both are decided by Benjamini-Hochberg at ``fdr`` in strata of encoding and
+length (powers of two): a token is reported if randomness is not rejected and
+writing is. So the share of true keys among the tokens discarded as not random,
+and the share of written ones among those reported, stay below ``fdr`` at every
+length. The step-up thresholds are taken over p values rounded up to a grid of
+``GRID`` steps per power of two; only those histograms (strata times grid, a
+fixed bound) come to the driver.
 """
 
 from __future__ import annotations
@@ -23,7 +33,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, write_table
+from ..functions.columns import let
+from .shared import write_table
 
 # Fixed values of the base patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -32,13 +43,16 @@ HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 12, 18, 16
 
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+LEAST = 12
+CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST
 FDR = 0.05
+WRITTEN, LETTERS = 0.2, 0.1
+RARE = "jkqvwxz"
 GRID, MAX_BITS = 8, 60
 SUM_BLOCK = 128
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPAN = "array<struct<start:int,kind_no:int,kind:string,end:int>>"
-TOKEN = "array<struct<start:int,end:int,stratum:int,step:int>>"
+TOKEN = "array<struct<start:int,end:int,stratum:int,step:int,written:int,base:boolean>>"
 
 
 def _found(text: Column, pattern: str, weigh: Column | None = None) -> Column:
@@ -102,84 +116,137 @@ def _upper_tail(z: Column) -> Column:
 
 
 def _alphabet(value: Column) -> Column:
-    """(symbols in order, fold case) of the inferred encoding."""
-    kind = lambda symbols, fold: F.struct(F.lit(symbols).alias("symbols"), F.lit(fold).alias("fold"))
+    """(number, symbols in order, fold case) of the inferred encoding."""
+    kind = lambda no, symbols, fold: F.struct(F.lit(no).alias("no"), F.lit(symbols).alias("symbols"), F.lit(fold).alias("fold"))
+    fits = lambda pattern: F.rlike(value, F.lit(f"^({pattern})$"))
     return (
-        F.when(F.rlike(value, F.lit("^([0-9a-f]+|[0-9A-F]+)$")), kind(_DIGITS + "abcdef", True))
-        .when(F.rlike(value, F.lit("^[A-Z2-7]+$")), kind(_UPPER + "234567", False))
-        .when(F.rlike(value, F.lit("^([0-9a-z]+|[0-9A-Z]+)$")), kind(_DIGITS + _LOWER, True))
-        .when(F.rlike(value, F.lit("^[0-9A-Za-z]+$")), kind(_DIGITS + _UPPER + _LOWER, False))
-        .when(F.rlike(value, F.lit("^[0-9A-Za-z_-]+$")), kind(_UPPER + _LOWER + _DIGITS + "-_", False))
-        .otherwise(kind(_UPPER + _LOWER + _DIGITS + "+/", False))
+        F.when(fits("[0-9]+"), kind(0, _DIGITS, False))
+        .when(fits("[0-9a-f]+|[0-9A-F]+"), kind(1, _DIGITS + "abcdef", True))
+        .when(fits("[A-Z]?[a-z]+|[A-Z]+"), kind(2, _LOWER, True))
+        .when(fits("[A-Z2-7]+"), kind(3, _UPPER + "234567", False))
+        .when(fits("[0-9a-z]+|[0-9A-Z]+"), kind(4, _DIGITS + _LOWER, True))
+        .when(fits("[0-9A-Za-z]+"), kind(5, _DIGITS + _UPPER + _LOWER, False))
+        .when(fits("[0-9A-Za-z_-]+"), kind(6, _UPPER + _LOWER + _DIGITS + "-_", False))
+        .otherwise(kind(7, _UPPER + _LOWER + _DIGITS + "+/", False))
     )
 
 
-def p_value(value: Column) -> Column:
+def p_value(value: Column, alphabet: Column | None = None) -> Column:
     """The battery's p value of a token under uniform draws from its inferred alphabet; a few symbols give 1."""
     bare = F.regexp_replace(value, "=+$", "")
-    parts = F.struct(_alphabet(bare).alias("a"), bare.alias("v"))
-    coded = F.transform(F.array(parts), lambda p: F.struct(
-        F.length(p["a"]["symbols"]).cast("double").alias("k"),
-        F.filter(F.transform(F.split(F.when(p["a"]["fold"], F.lower(p["v"])).otherwise(p["v"]), ""), lambda ch: F.when(ch != "", F.instr(p["a"]["symbols"], ch) - 1)), lambda x: x >= 0).alias("x"),
-    ))
+    parts = F.struct((_alphabet(bare) if alphabet is None else alphabet).alias("a"), bare.alias("v"))
+
+    def code(p: Column) -> Column:
+        chars = F.split(F.when(p["a"]["fold"], F.lower(p["v"])).otherwise(p["v"]), "")
+        return F.struct(F.length(p["a"]["symbols"]).cast("double").alias("k"), F.filter(F.transform(chars, lambda ch: F.when(ch != "", F.instr(p["a"]["symbols"], ch) - 1)), lambda x: x >= 0).alias("x"))
+
+    def chi(equal: Column, n: Column, k: Column) -> Column:
+        """Upper tail of the number of equal pairs, which chi-squared is linear in: a shifted gamma of its mean, variance and skewness."""
+        mean = n * (n - 1) / 2 / k
+        var = mean * (1 - 1 / k)
+        third = n * (n - 1) * (n - 2) * (1 - 1 / k) * (1 - 2 / k) / (k * k) + var * (1 - 2 / k)
+        shape = 4 * F.pow(var, F.lit(3.0)) / F.pow(third, F.lit(2.0))
+        centre = 2 * var * var / third  # mean of the gamma part
+        ratio = F.greatest(equal - 0.5 - mean + centre, F.lit(0.0)) / centre
+        return _upper_tail((F.cbrt(ratio) - (1 - 1 / (9 * shape))) * 3 * F.sqrt(shape))
 
     def tests(c: Column) -> Column:
         x, k = c["x"], c["k"]
         n = F.size(x).cast("double")
         total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
-        squares = total(F.transform(F.array_distinct(x), lambda s: F.pow(F.size(F.filter(x, lambda y: y == s)).cast("double"), F.lit(2.0))))
-        chi = (k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
+        equal = total(F.transform(F.array_distinct(x), lambda s: let(F.size(F.filter(x, lambda y: y == s)).cast("double"), lambda m: m * (m - 1) / 2)))
         above = total(F.transform(x, lambda s: F.when(2 * s >= k, 1.0).otherwise(0.0)))
-        below = n - above
         runs = 1 + total(F.transform(x, lambda s, i: F.when((i > 0) & ((2 * s >= k) != (2 * F.get(x, F.greatest(i - 1, F.lit(0))) >= k)), 1.0).otherwise(0.0)))
+        s1, s2 = total(F.transform(x, lambda v: v.cast("double"))), total(F.transform(x, lambda v: (v * v).cast("double")))
+        lag = total(F.transform(x, lambda v, i: (v * F.get(x, F.when(i + 1 < F.size(x), i + 1).otherwise(0))).cast("double")))
+        return F.struct(n.alias("n"), k.alias("k"), equal.alias("equal"), above.alias("above"), runs.alias("runs"), s1.alias("s1"), s2.alias("s2"), lag.alias("lag"))
+
+    def combined(t: Column) -> Column:
+        n, above, below = t["n"], t["above"], t["n"] - t["above"]
         mean = 1 + 2 * above * below / n
         spread = F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9)))
         # With no mixture the runs test says nothing: one side alone has probability 2**(1-n), which chi-squared sees too.
-        p_runs = F.when(above * below == 0, F.lit(1.0)).otherwise(2 * _upper_tail(F.abs(runs - mean) / spread))
-        s1, s2 = total(F.transform(x, lambda v: v.cast("double"))), total(F.transform(x, lambda v: (v * v).cast("double")))
-        lag = total(F.transform(x, lambda v, i: (v * F.get(x, F.when(i + 1 < F.size(x), i + 1).otherwise(0))).cast("double")))
-        variance = n * s2 - s1 * s1
-        serial = F.when(variance > 0, (n * lag - s1 * s1) / F.greatest(variance, F.lit(1e-9))).otherwise(F.lit(1.0))
-        p_serial = 2 * _upper_tail(F.abs(serial + 1 / (n - 1)) * F.sqrt(n))
-        return F.when(n < 8, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 3 * F.least(_upper_tail(chi), p_runs, p_serial)))
+        p_runs = F.when(above * below == 0, F.lit(1.0)).otherwise(2 * _upper_tail(F.greatest(F.abs(t["runs"] - mean) - 0.5, F.lit(0.0)) / spread))
+        variance = n * t["s2"] - t["s1"] * t["s1"]
+        serial = F.when(variance > 0, (n * t["lag"] - t["s1"] * t["s1"]) / F.greatest(variance, F.lit(1e-9))).otherwise(F.lit(1.0))
+        p_serial = 2 * _upper_tail(F.abs(serial + 1 / (n - 1)) * (n - 1) * F.sqrt((n + 1) / (n * (n - 3))))
+        return F.least(F.lit(1.0), 3 * F.least(chi(t["equal"], n, t["k"]), p_runs, p_serial))
+
+    return let(let(let(parts, code), tests), lambda t: F.when(t["n"] < 8, F.lit(1.0)).otherwise(combined(t)))
 
-    return F.get(F.transform(coded, tests), F.lit(0))
+
+def written_p_value(value: Column, letters_only: Column) -> Column:
+    """Bound of the chance that a written token has so many changes of kind and rare letters.
+
+    Signs between letters and digits are left out. A capital before a small
+    letter is no change, as words begin so.
+    """
+    common = "".join(c for c in _LOWER if c not in RARE)
+    kinds = F.translate(F.regexp_replace(value, "[^A-Za-z0-9]", ""), common + RARE + common.upper() + RARE.upper() + _DIGITS, "l" * len(common) + "q" * len(RARE) + "U" * len(common) + "Q" * len(RARE) + "0" * 10)
+    places = F.regexp_count(kinds, F.lit("[qQ]|(?<=[lq])U|(?<=[lqUQ])0|(?<=0)[lU]")).cast("double")
+
+    def bound(t: Column) -> Column:
+        share, rate = t["m"] / t["n"], t["rate"]
+        part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(F.lit(0.0))
+        return F.when(share <= rate, F.lit(1.0)).otherwise(F.greatest(F.exp(-t["n"] * (part(share, rate) + part(1 - share, 1 - rate))), F.lit(2.0**-MAX_BITS)))
+
+    return let(F.struct(places.alias("m"), F.greatest(F.length(kinds), F.lit(1)).cast("double").alias("n"), F.when(letters_only, LETTERS).otherwise(WRITTEN).alias("rate")), bound)
 
 
 def candidate_tokens(text: Column, base: Column) -> Column:
-    """Array of (start, end, stratum, step) of tokens that no base span touches; step is -log2 of p on the grid, rounded down."""
+    """Array of (start, end, stratum, step, written, base): steps are -log2 of the two p values on the grid, rounded down; ``base``: a base span touches it."""
     has = F.rlike(text, F.lit(CANDIDATE))
-    free = F.filter(_found(text, CANDIDATE), lambda s: F.rlike(s["value"], F.lit("[A-Za-z]")) & F.rlike(s["value"], F.lit("[0-9]")) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    scored = F.transform(free, lambda s: F.struct(
-        s["start"].alias("start"),
-        s["end"].alias("end"),
-        F.floor(F.log2(s["w"].cast("double"))).cast("int").alias("stratum"),
-        F.floor(F.greatest(F.lit(0.0), -GRID * F.log2(p_value(s["value"])))).cast("int").alias("step"),
-    ))
+    step = lambda p: F.floor(F.greatest(F.lit(0.0), -GRID * F.log2(p))).cast("int")
+
+    def judged(t: Column) -> Column:
+        s, alphabet = t["s"], t["a"]
+        return F.struct(
+            s["start"].alias("start"),
+            s["end"].alias("end"),
+            (32 * alphabet["no"] + F.floor(F.log2(s["w"].cast("double")))).cast("int").alias("stratum"),
+            step(p_value(s["value"], alphabet)).alias("step"),
+            step(written_p_value(s["value"], alphabet["no"] == 2)).alias("written"),
+            F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])).alias("base"),
+        )
+
+    scored = F.transform(_found(text, CANDIDATE), lambda s: let(F.struct(s.alias("s"), _alphabet(F.regexp_replace(s["value"], "=+$", "")).alias("a")), judged))
     return _only(has, scored, TOKEN)
 
 
-def rejection_steps(tokens: DataFrame, fdr: float = FDR) -> dict[int, int]:
-    """Per stratum the least step at which randomness is rejected (Benjamini-Hochberg on the grid); absent: never.
+def rejection_steps(tokens: DataFrame, fdr: float = FDR, step: str = "step") -> dict[int, int]:
+    """Per stratum the least step at which the hypothesis is rejected (Benjamini-Hochberg on the grid); absent: never.
 
     ``tokens`` has columns ``stratum`` and ``step``. The driver gets their histogram only.
     """
     counts: dict[int, dict[int, int]] = {}
-    for r in tokens.groupBy("stratum", "step").agg(F.count("*").alias("n")).collect():
+    for r in tokens.groupBy("stratum", F.col(step).alias("step")).agg(F.count("*").alias("n")).collect():
         counts.setdefault(r.stratum, {})[r.step] = r.n
     out = {}
     for stratum, steps in counts.items():
         m, seen = sum(steps.values()), 0
-        for step in sorted(steps, reverse=True):
-            seen += steps[step]
-            if 2.0 ** (-step / GRID) <= fdr * seen / m:  # p is at most this
-                out[stratum] = step
+        for at in sorted(steps, reverse=True):
+            seen += steps[at]
+            if 2.0 ** (-at / GRID) <= fdr * seen / m:  # p is at most this
+                out[stratum] = at
     return out
 
 
-def _kept(tokens: Column, steps: dict[int, int]) -> Column:
-    limit = lambda t: F.coalesce(*[F.when(t["stratum"] == s, F.lit(step)) for s, step in sorted(steps.items())], F.lit(1 << 30)) if steps else F.lit(1 << 30)
-    return F.transform(F.filter(tokens, lambda t: t["step"] < limit(t)), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind_no"), F.lit(KINDS[3]).alias("kind"), t["end"].alias("end")))
+def _thresholds(found: DataFrame, fdr: float) -> tuple[dict[int, int], dict[int, int]]:
+    """(steps from which randomness is rejected, steps from which writing is) over all tokens of the stored scan."""
+    tokens = found.select(F.explode("_tokens").alias("t")).select("t.stratum", "t.step", "t.written")
+    return rejection_steps(tokens, fdr), rejection_steps(tokens, fdr, "written")
+
+
+def _decided(tokens: Column, thresholds: tuple[dict[int, int], dict[int, int]]) -> Column:
+    """The tokens that are reported."""
+    never = F.lit(1 << 30)
+    limit = lambda t, steps: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(steps.items()) for x in kv]), t["stratum"]), never) if steps else never
+    return F.filter(tokens, lambda t: (t["step"] < limit(t, thresholds[0])) & (t["written"] >= limit(t, thresholds[1])))
+
+
+def _added(tokens: Column) -> Column:
+    """Spans of the reported tokens that no base span touches."""
+    return F.transform(F.filter(tokens, lambda t: ~t["base"]), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind_no"), F.lit(KINDS[3]).alias("kind"), t["end"].alias("end")))
 
 
 def _joined(spans: Column) -> Column:
@@ -187,46 +254,54 @@ def _joined(spans: Column) -> Column:
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.withColumn("_base", base_spans(text)).withColumn("_tokens", candidate_tokens(text, F.col("_base")))
+    """The input row as ``row``, so that no name can clash, with ``_base`` and ``_tokens`` of its text."""
+    packed = docs.select(F.struct("*").alias("row"))
+    text = F.coalesce("row.text", F.lit(""))
+    return packed.withColumn("_base", base_spans(text)).withColumn("_tokens", candidate_tokens(text, F.col("_base")))
 
 
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
-    """One row per input row: ``doc_id``, counts of base spans, ``base_sha256``, ``spans``.
+    """One row per input row: ``doc_id``, counts of base spans, ``base_sha256``, ``spans``, and what the battery saw.
 
-    Null texts are empty: no spans, the digest of the empty string. Repeated
-    rows and rows without ``doc_id`` are scanned each. Extra columns are
-    ignored.
+    ``n_tokens`` counts the tested tokens, ``n_random`` those reported (in base
+    spans or not); ``spans`` has the base spans and the reported tokens that
+    touch none of them. Null texts are empty: no spans, the digest of the empty
+    string. Repeated rows and rows without ``doc_id`` are scanned each. Extra
+    columns are ignored.
     """
-    found = write_table(_scanned(docs.select("doc_id", "text")).select("doc_id", "_base", "_tokens"), "secrets")
-    steps = rejection_steps(found.select(F.explode("_tokens").alias("t")).select("t.stratum", "t.step"), fdr)
+    found = write_table(_scanned(docs.select("doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), "_base", "_tokens"), "secrets")
+    found = found.withColumn("_random", _decided(F.col("_tokens"), _thresholds(found, fdr)))
     count = lambda no: F.size(F.filter("_base", lambda s: s["kind_no"] == no)).cast("long")
     return found.select(
         "doc_id",
         *[count(no).alias(f"n_{KINDS[no]}") for no in range(3)],
         F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"),
-        _joined(F.array_sort(F.concat("_base", _kept(F.col("_tokens"), steps)))).alias("spans"),
+        _joined(F.array_sort(F.concat("_base", _added(F.col("_random"))))).alias("spans"),
+        F.size("_tokens").cast("long").alias("n_tokens"),
+        F.size("_random").cast("long").alias("n_random"),
     )
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", fdr: float = FDR) -> DataFrame:
-    """``docs`` with every span, overlapping ones merged, replaced by ``mark``; rows without spans are unchanged."""
-    found = _scanned(docs)
-    steps = rejection_steps(found.select(F.explode("_tokens").alias("t")).select("t.stratum", "t.step"), fdr)
-    spans = F.array_sort(F.concat("_base", _kept(F.col("_tokens"), steps)))
+    """``docs`` with every span, overlapping ones merged, replaced by ``mark``.
+
+    Rows without spans are unchanged, null and empty texts among them; repeated
+    rows are redacted alike. All input columns stay, whatever their names. The
+    scan is stored, as the thresholds need all of it before any text changes.
+    """
+    found = write_table(_scanned(docs), "secrets")
+    spans = F.array_sort(F.concat("_base", _added(_decided(F.col("_tokens"), _thresholds(found, fdr)))))
+    text = F.col("row.text")
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        between = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
+        between = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
         return F.struct(
             F.when(fresh, F.concat(acc["out"], F.array(between, F.lit(mark)))).otherwise(acc["out"]).alias("out"),
             F.greatest(acc["at"], s["end"]).alias("at"),
         )
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-    rebuilt = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return (
-        found.withColumn("_spans", spans)
-        .withColumn("text", F.when(F.size("_spans") > 0, rebuilt).otherwise(F.col("text")))
-        .select(*docs.columns)
-    )
+    rebuilt = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    changed = F.col("row").withField("text", F.when(F.size("_spans") > 0, rebuilt).otherwise(text))
+    return found.withColumn("_spans", spans).select(changed.alias("row")).select("row.*").select(*[F.col(f"`{c}`") for c in docs.columns])
