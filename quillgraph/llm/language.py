@@ -20,14 +20,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_sample
 from .toxicity import held_out
 
 VOCABULARY = "piece_bpe_32k.model"
 LONGEST = 64
-PER_LANG = 1500
+PER_LANG, MAX_CHARS = 1500, 8_000_000
 CHUNK = 250_000  # words scored at once
 CELLS = 100_000  # words times languages in one lattice
 SCALE = 12.0  # per character, so that products of probabilities stay in range
@@ -39,7 +40,15 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
+    """Runs of letters, lower-cased, long ones in parts.
+
+    Letters are what ``str.isalpha`` says: digits, fractions, superscripts and
+    letter-like numbers such as Roman numeral signs are none. Combining marks
+    are none either and part the letters around them.
+    """
     found = _WORD.findall(text.lower()) if text else []
+    if not all(map(str.isalpha, found)):
+        found = [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
     if any(len(w) > LONGEST for w in found):
         found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
     return found
@@ -202,19 +211,17 @@ def fit(texts: list[str | None], langs: list[str], path: str, rounds: int = 4, a
     return Model(names, p, path)
 
 
-def sample_and_fit(docs: DataFrame, path: str | None = None, per_lang: int = PER_LANG) -> Model:
-    """Fit on at most ``per_lang`` rows of each language, none held out, taken by the smallest hash of ``doc_id``."""
+def sample_and_fit(docs: DataFrame, path: str | None = None, per_lang: int = PER_LANG, max_chars: int = MAX_CHARS) -> Model:
+    """Fit on at most ``per_lang`` rows and ``max_chars`` characters of each language, none held out, taken by the smallest hash of ``doc_id``."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = usable.select("doc_id", "lang", rank.alias("n")).where(F.col("n") <= per_lang).select("doc_id", "lang").collect()
-    if not ids:
+    rows = bounded_sample(usable.select("doc_id", "lang", "text"), "lang", per_lang, max_chars)
+    if not rows:
         return Model([], np.zeros((1, 0)), path)
-    picked = docs.sparkSession.createDataFrame(ids, docs.select("doc_id", "lang").schema)
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(picked.distinct()), ["doc_id", "lang"]).collect()
+    rows.sort(key=lambda r: (r.lang, r.doc_id))
     return fit([r.text for r in rows], [r.lang for r in rows], path)
 
 

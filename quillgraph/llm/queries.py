@@ -22,8 +22,9 @@ def op1_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_wav_peak_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import analyse, feature_string, store
+    from .shared import write_table
 
-    found = analyse(store(_table(spark, sf_dir, "documents")))
+    found = analyse(write_table(store(_table(spark, sf_dir, "documents")), "media"))
     return found.withColumn("feature", feature_string("fingerprint")).drop("fingerprint")
 
 

@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import let, write_table
+from ..functions.columns import let
+from .shared import write_table
 
 BUCKET = 1024
 MARKS = r"^[ \t]*(>[ \t]*)+"
@@ -138,9 +139,13 @@ def link_conversations(messages: DataFrame) -> DataFrame:
     )
     rows = write_table(rows, "linked")
     key = ["conv_id", "thread_root", "_b"]
-    sums = rows.groupBy(*key).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("thread_root", "_b").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select(*[F.col(k).alias(f"x{i}") for i, k in enumerate(key)], F.coalesce(before, F.lit(0)).alias("before"))
+    # Two levels of sums, so that a conversation of many roots is summed in buckets of roots.
+    sums = rows.groupBy(*key).agg(F.count("*").alias("n")).withColumn("_rb", F.floor(F.col("thread_root") / BUCKET))
+    earlier = lambda value, by, order: F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = sums.groupBy("conv_id", "_rb").agg(F.sum("n").alias("t"))
+    totals = totals.select(F.col("conv_id").alias("tc"), F.col("_rb").alias("tb"), earlier("t", ["conv_id"], ["_rb"]).alias("far"))
+    sums = sums.withColumn("near", earlier("n", ["conv_id", "_rb"], ["thread_root", "_b"])).join(totals, F.col("conv_id").eqNullSafe(F.col("tc")) & F.col("_rb").eqNullSafe(F.col("tb")))
+    sums = sums.select(*[F.col(k).alias(f"x{i}") for i, k in enumerate(key)], (F.col("near") + F.col("far")).alias("before"))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("turn", "role", "text"))
     same = [F.col(k).eqNullSafe(F.col(f"x{i}")) for i, k in enumerate(key)]
     return rows.withColumn("_r", rank).join(sums, same).select(

@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_sample
+
 WORDS = 1 << 15
 GRAMS = 1 << 15
 WIDTH = 6
@@ -31,6 +33,7 @@ HIDDEN = 8
 ATTEND = 8
 WINDOW, STRIDE = 32, 16
 PER_CLASS = 3000
+MAX_CHARS = 16_000_000
 THRESHOLD = 0.3
 CHUNK = 60_000  # words scored at once
 
@@ -285,25 +288,21 @@ def train(texts: list[str | None], labels: list[int], prior: float, rounds: int
     return net
 
 
-def sample_and_train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network:
-    """Train on at most ``per_class`` labelled rows a class, none of them held out.
+def sample_and_train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Network:
+    """Train on at most ``per_class`` labelled rows and ``max_chars`` characters a class, none of them held out.
 
     Rows are taken by the smallest hash of ``doc_id``, so the choice depends on
-    nothing else. Only their ids, then their texts, come to the driver.
+    nothing else. An id with both labels counts as toxic. Only the chosen texts
+    come to the driver.
     """
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
-    totals = {r.toxic: r.n for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not totals:
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+    usable = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
+    rows = bounded_sample(docs.select("doc_id", "text").join(usable, "doc_id"), "y", per_class, max_chars)
+    if not rows:
         return Network({}, 0.0)
+    totals = {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     prior = totals.get(1, 0) / sum(totals.values())
-    picked = {}
-    for kind in totals:
-        best = usable.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        picked |= {r.doc_id: kind for r in best.collect()}
-    spark = docs.sparkSession
-    ids = spark.createDataFrame(list(picked.items()), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
+    rows.sort(key=lambda r: r.doc_id)
     return train([r.text for r in rows], [r.y for r in rows], prior)
 
 
