@@ -60,7 +60,7 @@ def first_words(c: Column, n: int = 60) -> Column:
 
 def first_non_blank(*cols: Column) -> Column:
     """First value that is neither null nor blank, else the empty string."""
-    return F.coalesce(*[F.when(F.trim(c) != "", c) for c in cols], F.lit(""))
+    return F.coalesce(*[F.when(strip(c) != "", c) for c in cols], F.lit(""))
 
 
 def drop_articles_anywhere(c: Column) -> Column:
@@ -71,12 +71,16 @@ def drop_articles_anywhere(c: Column) -> Column:
     return out
 
 
+# The two forms of a generated answer.
+ANSWER, LOOSE_ANSWER = r"The answer is ([A-Z]).", r"\b(?:The answer is|Answer:)\s*([A-Z])\b"
+
+
 def extract_letter(c: Column, loose: bool = False) -> Column:
     """Option letter of a generated answer; FAILED unless exactly one (or, loosely, the first) is found."""
     if loose:
-        found = F.regexp_extract_all(c, F.lit(r"\b(?:The answer is|Answer:)\s*([A-Z])\b"), 1)
+        found = F.regexp_extract_all(c, F.lit(LOOSE_ANSWER), 1)
         return F.when(F.size(found) > 0, F.get(found, F.lit(0))).otherwise(F.lit("FAILED"))
-    found = F.regexp_extract_all(c, F.lit(r"The answer is ([A-Z])."), 1)
+    found = F.regexp_extract_all(c, F.lit(ANSWER), 1)
     return F.when(F.size(found) == 1, F.get(found, F.lit(0))).otherwise(F.lit("FAILED"))
 
 
@@ -94,7 +98,7 @@ def short_path(c: Column, keep: int = 2) -> Column:
     """Last ``keep`` non-empty path components; null and blank paths are unchanged."""
     parts = F.filter(F.split(F.replace(c, F.lit("\\"), F.lit("/")), "/"), lambda x: x != "")
     tail = F.array_join(F.slice(parts, F.greatest(F.size(parts) - keep + 1, F.lit(1)), F.lit(keep)), "/")
-    return F.when(c.isNull() | (F.trim(c) == ""), c).otherwise(tail)
+    return F.when(c.isNull() | (strip(c) == ""), c).otherwise(tail)
 
 
 def base_name(c: Column) -> Column:

@@ -138,33 +138,45 @@ def triple_key(c: str) -> Column:
     return strip(F.coalesce(F.col(c), F.lit("")))
 
 
-def remap_qrels(qrels: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
-    """Judgements carried to another corpus by equal, non-empty triple keys; repeats keep the largest grade."""
+def remap_qrels(qrels: DataFrame, source: DataFrame, target: DataFrame, keep_unmatched: bool = False) -> DataFrame:
+    """Judgements carried to another corpus by equal, non-empty triple keys; repeats keep the largest grade.
+
+    With ``keep_unmatched`` a query without a match stays, with one row whose
+    ``doc_id`` and ``rel`` are null: an empty set of judgements.
+    """
     key = [f"_{c}" for c in TRIPLE]
     keyed = lambda d, name: d.select(F.col("doc_id").alias(name), *[triple_key(c).alias(k) for c, k in zip(TRIPLE, key, strict=True)])
     there = keyed(target, "to_id").where(" or ".join(f"{k} <> ''" for k in key))
     moved = qrels.where("rel > 0").join(keyed(source, "doc_id"), "doc_id").join(there, key)
-    return moved.groupBy("qid", F.col("to_id").alias("doc_id")).agg(F.max("rel").alias("rel"))
+    moved = moved.groupBy("qid", F.col("to_id").alias("doc_id")).agg(F.max("rel").alias("rel"))
+    if not keep_unmatched:
+        return moved
+    return qrels.select("qid").distinct().join(moved, "qid", "left")
 
 
 def first_relevant_image(qrels: DataFrame, corpus: DataFrame) -> DataFrame:
     """``qid`` and the image path of its smallest relevant doc_id; queries whose first has none drop out."""
     rows = qrels.where("rel > 0").join(corpus.select("doc_id", "image_path"), "doc_id", "left")
     first = rows.groupBy("qid").agg(F.min(F.struct("doc_id", "image_path")).alias("m"))
-    return first.select("qid", F.col("m.image_path").alias("image_path")).where("trim(image_path) <> ''")
+    return first.select("qid", F.col("m.image_path").alias("image_path")).where(strip(F.col("image_path")) != "")
 
 
 def image_by_head(queries: DataFrame, images: DataFrame) -> DataFrame:
     return queries.join(images.select(F.col("image_id").alias("_id"), F.col("path").alias("query_image_path")), strip(F.col("head_id")) == F.col("_id"), "left").drop("_id")
 
 
-def gold_answers(queries: DataFrame, qrels: DataFrame, corpus: DataFrame, normalise=light_normalise, order: str = "doc_id") -> DataFrame:
-    """``qid`` and ``golds``: the masked side's texts of relevant documents in order, distinct after normalising, no blanks."""
-    masked = F.coalesce("masked_type", F.lit("tail"))
-    text = F.when(masked == "head", F.coalesce("head_text", "head_id")).when(masked.isin("rel", "relation"), F.coalesce("rel_text", "rel_id")).otherwise(F.coalesce("tail_text", "tail_id"))
+def gold_answers(queries: DataFrame, qrels: DataFrame, corpus: DataFrame, normalise=light_normalise, order: str = "doc_id", id_fallback: bool = False) -> DataFrame:
+    """``qid`` and ``golds``: the masked side's stripped texts of relevant documents in order, distinct after normalising, no blanks.
+
+    ``masked_type`` counts without outer white space and case; unknown and null
+    ones mean the tail. A null text gives no answer, or the id if ``id_fallback``.
+    """
+    masked = F.lower(strip(F.coalesce("masked_type", F.lit("tail"))))
+    side = lambda name: F.coalesce(f"{name}_text", f"{name}_id") if id_fallback else F.col(f"{name}_text")
+    text = strip(F.when(masked == "head", side("head")).when(masked.isin("rel", "relation"), side("rel")).otherwise(side("tail")))
     docs = corpus.select("doc_id", "head_id", "rel_id", "tail_id", "head_text", "rel_text", "tail_text")
     rows = qrels.where("rel > 0").join(queries.select("qid", "masked_type"), "qid").join(docs, "doc_id")
-    answers = rows.select("qid", F.col(order).alias("o"), text.alias("a")).where(strip(F.col("a")) != "")
+    answers = rows.select("qid", F.col(order).alias("o"), text.alias("a")).where("a <> ''")
     once = answers.withColumn("n", normalise(F.col("a"))).groupBy("qid", "n").agg(F.min(F.struct("o", "a")).alias("m"))
     return once.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list("m")), lambda m: m["a"]).alias("golds"))
 

@@ -128,6 +128,14 @@ _INPUTS = {
 _OUTPUTS = {"A": [], "AL": ["solution"], "AE": ["lecture"], "ALE": ["lecture", "solution"], "AEL": ["solution", "lecture"], "LA": ["lecture"], "EA": ["solution"], "LEA": ["lecture", "solution"], "ELA": ["solution", "lecture"]}
 
 
+# The formats on offer, and the most examples before a question.
+FORMATS = (
+    "CQM-A", "CQM-LA", "CQM-EA", "CQM-LEA", "CQM-ELA", "CQM-AL", "CQM-AE", "CQM-ALE", "QCM-A", "QCM-LA", "QCM-EA", "QCM-LEA", "QCM-ELA", "QCM-AL", "QCM-AE", "QCM-ALE",
+    "QCML-A", "QCME-A", "QCMLE-A", "QCLM-A", "QCEM-A", "QCLEM-A", "QCML-AE",
+)
+MOST_SHOTS = 32
+
+
 def choice_example(fmt: str, test: bool, options: tuple[str, ...] = OPTIONS, use_caption: bool = False) -> Column:
     """One multiple-choice example from columns question, choices, answer, hint, lecture, solution (and caption)."""
     kind_in, kind_out = fmt.split("-")
@@ -161,8 +169,10 @@ def choice_example(fmt: str, test: bool, options: tuple[str, ...] = OPTIONS, use
 
 
 def few_shot(problems: DataFrame, shots: DataFrame, fmt: str, **options) -> DataFrame:
-    """``pid`` and ``prompt``: the shot examples (in order ``pos``, at most 32), then the test example."""
-    shown = shots.limit(33).select("pos", choice_example(fmt, False, **options).alias("e"))
+    """``pid`` and ``prompt``: the shot examples (in order ``pos``), then the test example; more than ``MOST_SHOTS`` shots raise."""
+    if shots.limit(MOST_SHOTS + 1).count() > MOST_SHOTS:
+        raise ValueError(f"at most {MOST_SHOTS} shots go into a prompt")
+    shown = shots.select("pos", choice_example(fmt, False, **options).alias("e"))
     joined = shown.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "e"))), lambda x: x["e"]), "\n\n").alias("_shots"))
     test = problems.select("pid", choice_example(fmt, True, **options).alias("_test"))
     return test.crossJoin(F.broadcast(joined)).select("pid", F.concat_ws("\n\n", F.when(F.col("_shots") != "", F.col("_shots")), "_test").alias("prompt"))

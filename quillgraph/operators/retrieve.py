@@ -14,8 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..functions.text import first_words, strip_image_token
-from ..functions.vector import block_topk, dot, fuse, late_fusion, rank_scores, side_mean, unit
+from ..functions.vector import block_product, block_topk, dot, fuse, late_fusion, rank_scores, side_mean, unit
 
 
 @dataclass(frozen=True)
@@ -31,16 +32,17 @@ class Family:
     norm_first_query: bool = False
     both_sides: bool = False
     ascending_random: bool = False
+    anchor_by_text: bool = False
     guard_k: bool = True
 
 
 FAMILIES: dict[str, Family] = {
     "G": Family(),
     "M": Family(lower=True, strip_token=True, max_words=60, exclude_image_heads=True, norm_first_query=True),
-    "A": Family(missing_text="omit", norm_first_corpus=False, both_sides=True, ascending_random=True),
-    "Q": Family(missing_text="omit", norm_first_corpus=False, both_sides=True, ascending_random=True),
+    "A": Family(missing_text="omit", norm_first_corpus=False, both_sides=True, ascending_random=True, anchor_by_text=True),
+    "Q": Family(missing_text="omit", norm_first_corpus=False, both_sides=True, ascending_random=True, anchor_by_text=True),
     "V": Family(missing_text="omit", norm_first_corpus=False, both_sides=True, ascending_random=True),
-    "D": Family(lower=True, missing_text="omit", exclude_image_heads=True, norm_first_corpus=False, norm_first_query=True, ascending_random=True),
+    "D": Family(lower=True, missing_text="omit", exclude_image_heads=True, norm_first_corpus=False, norm_first_query=True, ascending_random=True, anchor_by_text=True),
 }
 
 
@@ -50,23 +52,43 @@ def query_text(c: Column, family: Family) -> Column:
     return first_words(c, family.max_words) if family.max_words else c
 
 
+def analogy_text(head: Column, tail: Column, question: Column) -> Column:
+    """Query text of an analogy for plain text search: its three texts, whatever the mode."""
+    return F.concat_ws(" ", head, tail, question)
+
+
+def analogy_anchor_text(mode: Column, head: Column, tail: Column, question: Column) -> Column:
+    """Query text of an analogy for the anchor and weighted searches, by its mode."""
+    return F.when(mode == 0, analogy_text(head, tail, question)).when(mode == 1, question).otherwise(tail)
+
+
+def analogy_anchor_image(mode: Column, head: Column, tail: Column, question: Column) -> Column:
+    """Query image vector of an analogy for the anchor and weighted searches: the question's, or a mean of two."""
+    return unit(F.when(mode == 0, unit(question)).when(mode == 1, side_mean(head, tail)).otherwise(side_mean(head, question)))
+
+
+def choice_query(question: Column, hint: Column) -> Column:
+    """Query vector of a multiple-choice problem: the mean of question and hint vectors; a null hint vector (no hint) is left out."""
+    return fuse(hint, question, norm_first=False)
+
+
 def random_topk(queries: DataFrame, n: int, k: int, seed: str = "42", ascending: bool = False) -> DataFrame:
-    """``k`` distinct positions of ``n`` per query by a seeded walk, without meeting all of them; scores run k..1, or 1..k.
+    """``k`` distinct positions of ``n`` per query, every such set as likely as any other; scores run k..1, or 1..k.
 
-    Position i is ``(start + i * step) mod n`` with a hashed start and a hashed
-    step coprime to n, so that no position repeats.
+    Floyd's sampling: for j = n-k .. n-1 a hashed draw from 0..j enters, or j
+    itself where the draw is in already. The order is that of a keyed hash. The
+    work depends on ``k`` alone.
     """
     k = max(0, min(k, n))
     if k == 0:
         return queries.select("qid").limit(0).selectExpr("qid", "0L as idx", "0.0D as score", "0 as rank")
-    h = lambda tag: F.xxhash64(F.lit(f"{seed}:{tag}"), F.col("qid"))
-    # A step coprime to n: the first of successive candidates whose gcd with n is 1 always exists among primes not dividing n.
-    primes = [p for p in (2654435761, 1597334677, 805459861, 3674653429, 2097192037) if n % p]
-    step = F.element_at(F.array(*map(F.lit, primes)), (F.pmod(h("step"), F.lit(len(primes))) + 1).cast("int"))
-    i = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    rows = queries.select("qid", F.pmod(h("start"), F.lit(n)).alias("_s"), F.pmod(step, F.lit(n)).alias("_t"), i.alias("_i"))
-    score = (F.col("_i") + 1 if ascending else k - F.col("_i")).cast("double")
-    return rows.select("qid", ((F.col("_s") + F.col("_t") * F.col("_i")) % n).cast("long").alias("idx"), score.alias("score"), (F.col("_i") + 1).cast("int").alias("rank"))
+    draw = lambda j: F.pmod(F.xxhash64(F.lit(f"{seed}:draw"), F.col("qid"), j), j + 1)
+    step = lambda got, j: let(draw(j), lambda t: F.concat(got, F.array(F.when(F.array_contains(got, t), j).otherwise(t))))
+    drawn = F.aggregate(F.sequence(F.lit(n - k).cast("long"), F.lit(n - 1).cast("long")), F.array().cast("array<bigint>"), step)
+    ordered = F.array_sort(F.transform(drawn, lambda i: F.struct(F.xxhash64(F.lit(f"{seed}:order"), F.col("qid"), i).alias("h"), i.alias("i"))))
+    rows = queries.select("qid", F.posexplode(ordered).alias("_p", "_s"))
+    score = (F.col("_p") + 1 if ascending else k - F.col("_p")).cast("double")
+    return rows.select("qid", F.col("_s.i").alias("idx"), score.alias("score"), (F.col("_p") + 1).cast("int").alias("rank"))
 
 
 def text_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -95,7 +117,7 @@ def anchor_topk(queries: DataFrame, corpus: DataFrame, k: int, n_img: int = 10)
     Queries without an image, and all queries if no head has one, fall back to
     plain text order. Each corpus row meets only the queries that chose its head.
     """
-    heads = corpus.where("head_emb is not null").groupBy("head").agg(F.first("head_emb").alias("emb"))
+    heads = corpus.where("head_emb is not null").groupBy("head").agg(F.min_by("head_emb", "idx").alias("emb"))
     heads = heads.select(F.col("head").alias("idx"), "emb")
     with_image = queries.where("image_emb is not null")
     chosen = block_topk(with_image.select("qid", F.col("image_emb").alias("emb")), heads, n_img).select("qid", F.col("idx").alias("head"))
@@ -105,15 +127,22 @@ def anchor_topk(queries: DataFrame, corpus: DataFrame, k: int, n_img: int = 10)
     return rank_scores(scored, k).unionByName(text_topk(rest, corpus, k))
 
 
-def anchor_by_text(scores: DataFrame, k: int, n_img: int, n_text: int, image_rows: int) -> DataFrame:
-    """The older anchor: distinct texts in global text order, up to ``min(k, n_img * n_text, hits * n_text)``; without an image index the first ``n_text`` rows.
+def anchor_by_text(queries: DataFrame, corpus: DataFrame, k: int, n_img: int = 10, n_text: int = 5, digits: int | None = None) -> DataFrame:
+    """The older anchor: images fix how many rows come, texts fix which.
 
-    ``scores`` holds ``qid``, ``idx``, ``text``, ``score``.
+    A query with an image takes the distinct ``text`` values nearest to its
+    text (of equal texts the smallest ``idx``), up to ``min(k, n_img * n_text,
+    rows with an image * n_text)``. Without an image on either side it takes the
+    first ``n_text`` rows, repeated texts included.
     """
-    if image_rows == 0:
-        return rank_scores(scores.drop("text"), n_text)
-    first = rank_scores(scores.withColumn("_g", F.struct("qid", "text")), 1, query="_g").drop("rank", "_g")
-    return rank_scores(first.drop("text"), min(k, n_img * n_text, min(n_img, image_rows) * n_text))
+    of = lambda d, key: d.select(key, F.col("text_emb").alias("emb"))
+    pictured = corpus.where("head_emb is not null or tail_emb is not null").limit(n_img).count()
+    asking = queries.where("image_emb is not null") if pictured else queries.limit(0)
+    most = min(k, n_img * n_text, pictured * n_text)
+    once = corpus.groupBy("text").agg(F.min("idx").alias("idx"), F.min_by("text_emb", "idx").alias("text_emb"))
+    rest = queries.where("image_emb is null") if pictured else queries
+    plain = block_topk(of(rest, "qid"), of(corpus, "idx"), n_text, digits)
+    return block_topk(of(asking, "qid"), of(once, "idx"), most, digits).unionByName(plain) if pictured else plain
 
 
 def weighted_scores(text_scores: DataFrame, image_scores: DataFrame, w_text: float = 0.25, w_image: float = 0.75, agreement: float = 0.0) -> DataFrame:
@@ -122,17 +151,15 @@ def weighted_scores(text_scores: DataFrame, image_scores: DataFrame, w_text: flo
     return text_scores.join(image, ["qid", "idx"], "left").select("qid", "idx", late_fusion(F.col("score"), F.col("_i"), w_text, w_image, agreement).alias("score"))
 
 
-def weighted_topk(queries: DataFrame, corpus: DataFrame, k: int, w_text: float = 0.25, w_image: float = 0.75) -> DataFrame:
-    """Late fusion as one product: the weighted text and image vectors side by side.
+def weighted_topk(queries: DataFrame, corpus: DataFrame, k: int | None, w_text: float = 0.25, w_image: float = 0.75, agreement: float = 0.0, digits: int | None = None) -> DataFrame:
+    """Late fusion: ``w_text * t + w_image * i + agreement * t * i`` of the text and image cosines.
 
-    cos_t * w_t + cos_i * w_i is the dot product of (w_t t, w_i i) with (t, i),
-    images being the plain mean of unit head and tail vectors, or zero.
+    A triplet's image vector is the plain mean of its unit head and tail
+    vectors; where a side has no image, i is 0.
     """
-    width = lambda c: F.size(c)
-    zeros = lambda c, other: F.coalesce(c, F.array_repeat(F.lit(0.0), width(other)))
-    c = corpus.select("idx", F.concat(unit(F.col("text_emb")), zeros(side_mean(F.col("head_emb"), F.col("tail_emb")), F.col("text_emb"))).alias("v"))
-    q = queries.select("qid", F.concat(F.transform(unit(F.col("text_emb")), lambda x: w_text * x), zeros(F.transform(unit(F.col("image_emb")), lambda x: w_image * x), F.col("text_emb"))).alias("v"))
-    return rank_scores(c.crossJoin(q.withColumnRenamed("v", "_q")).select("qid", "idx", dot(F.col("v"), F.col("_q")).alias("score")), k)
+    c = corpus.select("idx", "text_emb", side_mean(F.col("head_emb"), F.col("tail_emb")).alias("image_emb"))
+    fused = lambda t, i: w_text * t + w_image * i + agreement * t * i
+    return rank_scores(block_product(queries, c, {"text_emb": True, "image_emb": False}, fused, k, digits), k)
 
 
 def caption_text(corpus: DataFrame, captions: DataFrame, entities_only: bool = False, both_sides: bool = False) -> DataFrame:
@@ -159,7 +186,7 @@ RETRIEVERS: dict[str, Callable[..., DataFrame]] = {
     "Random": lambda q, c, k, family, **o: random_topk(q, c.count(), k, ascending=family.ascending_random, **o),
     "SimpleText": lambda q, c, k, family, **o: text_topk(q, c, k),
     "SimpleMultimodal": lambda q, c, k, family, **o: multimodal_topk(q, c, k, family),
-    "MMAnchor": lambda q, c, k, family, **o: anchor_topk(q, c, k, **o),
+    "MMAnchor": lambda q, c, k, family, **o: (anchor_by_text if family.anchor_by_text else anchor_topk)(q, c, k, **o),
     "MMWeighted": lambda q, c, k, family, **o: weighted_topk(q, c, k, **o),
     "Caption": lambda q, c, k, family, **o: text_topk(q, c, k),
     "None": lambda q, c, k, family, **o: no_retrieval(q),

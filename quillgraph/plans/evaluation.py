@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.models import embed, generate, hashing_encoder
-from ..functions.text import extract_letter, letter_index, short_path
+from ..functions.text import answer_tokens, extract_letter, letter_index, light_normalise, short_path
 from ..operators import dataset as D
 from ..operators import metrics as M
 from ..operators import prompts as P
@@ -78,7 +78,8 @@ def evaluate_generation(split: dict[str, DataFrame], ranked: DataFrame, model: C
     """(one record a query with prompt, golds, prediction and scores; their means)."""
     light, mode = family == "M", mode or ("best" if family == "M" else "joined")
     ids = D.eval_qids(split["queries"], split["qrels"], positive=False)
-    golds = D.gold_answers(split["queries"], split["qrels"], split["corpus"])
+    normalise = light_normalise if family == "M" else (lambda c: F.array_join(answer_tokens(c), " "))
+    golds = D.gold_answers(split["queries"], split["qrels"], split["corpus"], normalise)
     rows = D.restrict(split["queries"], ids).withColumn("question", R.strip_image_token(F.col("query"))).join(golds, "qid", "left")
     rows = rows.join(P.evidence(ranked.where(F.col("rank") <= top_k), split["corpus"], family), "qid", "left")
     rows = rows.join(query_urls, "qid", "left") if query_urls is not None else rows.withColumn("url", F.lit(None).cast("string"))

@@ -191,9 +191,9 @@ def edges_with_text(spark, sf):
 
 # --- vectors ------------------------------------------------------------------------------------
 
-N_QUERIES = 50  # the stated query set: vec_id below this, against all other rows
-RANKED_SQL = f"""WITH q AS (SELECT vec_id AS qid, label AS ql, embedding AS a FROM embeddings WHERE vec_id < {N_QUERIES}),
-c AS (SELECT vec_id AS doc_id, label AS cl, embedding AS b FROM embeddings WHERE vec_id >= {N_QUERIES}),
+# The query set is every row whose id is divisible by 100, searched for in all rows.
+RANKED_SQL = """WITH q AS (SELECT vec_id AS qid, label AS ql, embedding AS a FROM embeddings WHERE vec_id % 100 = 0),
+c AS (SELECT vec_id AS doc_id, label AS cl, embedding AS b FROM embeddings),
 s AS (SELECT qid, doc_id, ql, cl, round(list_cosine_similarity(CAST(a AS DOUBLE[]), CAST(b AS DOUBLE[])), 9) AS score FROM q, c),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s)
 """
@@ -201,63 +201,65 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)
 
 def _vectors(spark, sf):
     e = _t(spark, sf, "embeddings")
-    return e.where(F.col("vec_id") < N_QUERIES), e.where(F.col("vec_id") >= N_QUERIES)
+    return e.where(F.col("vec_id") % 100 == 0), e
 
 
-def _ranked(spark, sf, k=100, vectors=_vectors):
-    q, c = vectors(spark, sf)
-    scores = V.dense_scores(q.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("emb")), c.select(F.col("vec_id").alias("idx"), F.col("embedding").alias("emb")))
-    return V.rank_scores(scores, k, digits=9).withColumnRenamed("idx", "doc_id")
+def _ranked(spark, sf, k=100):
+    q, c = _vectors(spark, sf)
+    rows = V.block_topk(q.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("emb")), c.select(F.col("vec_id").alias("idx"), F.col("embedding").alias("emb")), k, digits=9)
+    return rows.withColumnRenamed("idx", "doc_id")
 
 
-def _label_qrels(spark, sf, vectors=_vectors):
-    q, c = vectors(spark, sf)
-    return q.select(F.col("vec_id").alias("qid"), "label").join(c.select(F.col("vec_id").alias("doc_id"), "label"), "label").select("qid", "doc_id", F.lit(1).alias("rel"))
+def _label_qrels(spark, sf):
+    """Rows of the query's label, other than the query itself."""
+    q, c = _vectors(spark, sf)
+    both = q.select(F.col("vec_id").alias("qid"), "label").join(c.select(F.col("vec_id").alias("doc_id"), "label"), "label")
+    return both.where("qid <> doc_id").select("qid", "doc_id", F.lit(1).alias("rel"))
 
 
 @_query(RANKED_SQL + "SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 100")
-def dense_topk(spark, sf, vectors=_vectors):
-    return _ranked(spark, sf, vectors=vectors).select("qid", "doc_id", "rank", F.round(F.round("score", 9), 6).alias("score"))
+def dense_topk(spark, sf):
+    return _ranked(spark, sf).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 @_query(RANKED_SQL + "SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
-def block_topk(spark, sf, vectors=_vectors):
-    q, c = vectors(spark, sf)
-    rows = V.block_topk(q.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("emb")), c.select(F.col("vec_id").alias("idx"), F.col("embedding").alias("emb")), 10)
+def block_topk(spark, sf):
+    q, c = _vectors(spark, sf)
+    rows = V.block_topk(q.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("emb")), c.select(F.col("vec_id").alias("idx"), F.col("embedding").alias("emb")), 10, digits=9, block=16, corpus_block=256)
     return rows.select("qid", F.col("idx").alias("doc_id"), "rank")
 
 
 @_query(RANKED_SQL + "SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank FROM r")
-def full_ranking(spark, sf, vectors=_vectors):
-    return _ranked(spark, sf, None, vectors).select("qid", "doc_id", "rank")
+def full_ranking(spark, sf):
+    return _ranked(spark, sf, None).select("qid", "doc_id", "rank")
 
 
-METRIC_SQL = RANKED_SQL + """, n AS (SELECT qid, count(*) AS n FROM s WHERE ql = cl GROUP BY qid),
+METRIC_SQL = RANKED_SQL + """, n AS (SELECT qid, count(*) AS n FROM s WHERE ql = cl AND qid <> doc_id GROUP BY qid),
 k AS (SELECT unnest([5, 10, 20, 50, 100]) AS k),
 m AS (SELECT q.qid, k.k,
   coalesce(sum(1 / log2(r.rank + 1)), 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 101) t(i) WHERE i <= least(k.k, any_value(n.n))) AS ndcg,
   count(r.rank) / k.k AS precision, count(r.rank) / any_value(n.n) AS recall
-  FROM q CROSS JOIN k JOIN n ON n.qid = q.qid LEFT JOIN r ON r.qid = q.qid AND r.rank <= k.k AND r.ql = r.cl GROUP BY q.qid, k.k)
+  FROM q CROSS JOIN k JOIN n ON n.qid = q.qid LEFT JOIN r ON r.qid = q.qid AND r.rank <= k.k AND r.ql = r.cl AND r.qid <> r.doc_id GROUP BY q.qid, k.k)
 """
 
 
 @_query(METRIC_SQL + "SELECT qid, CAST(k AS INTEGER) AS k, round(ndcg, 6) AS ndcg, round(precision, 6) AS precision, round(recall, 6) AS recall FROM m")
-def retrieval_metrics_by_query(spark, sf, vectors=_vectors):
-    q, _ = vectors(spark, sf)
-    rows = M.ranking_by_query(_ranked(spark, sf, vectors=vectors), _label_qrels(spark, sf, vectors), q.select(F.col("vec_id").alias("qid")))
+def retrieval_metrics_by_query(spark, sf):
+    q, _ = _vectors(spark, sf)
+    rows = M.ranking_by_query(_ranked(spark, sf), _label_qrels(spark, sf), q.select(F.col("vec_id").alias("qid")))
     return rows.select("qid", "k", *[F.round(m, 6).alias(m) for m in ("ndcg", "precision", "recall")])
 
 
 @_query(METRIC_SQL + "SELECT CAST(k AS INTEGER) AS k, round(avg(ndcg), 6) AS ndcg, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall FROM m GROUP BY k")
-def retrieval_metrics(spark, sf, vectors=_vectors):
-    q, _ = vectors(spark, sf)
-    means = M.ranking_means(M.ranking_by_query(_ranked(spark, sf, vectors=vectors), _label_qrels(spark, sf, vectors), q.select(F.col("vec_id").alias("qid"))))
+def retrieval_metrics(spark, sf):
+    q, _ = _vectors(spark, sf)
+    means = M.ranking_means(M.ranking_by_query(_ranked(spark, sf), _label_qrels(spark, sf), q.select(F.col("vec_id").alias("qid"))))
     return means.select("k", *[F.round(m, 6).alias(m) for m in ("ndcg", "precision", "recall")])
 
 
-@_query(RANKED_SQL + ", p AS (SELECT qid, min(rank) FILTER (ql = cl) AS pos FROM r GROUP BY qid) SELECT " + ", ".join(f"round(avg(CASE WHEN pos <= {k} THEN 1.0 ELSE 0 END), 6) AS hits_{k}" for k in (1, 3, 5, 10)) + ", round(avg(coalesce(1 / pos, 0)), 6) AS mrr FROM p")
-def hits_mrr(spark, sf, vectors=_vectors):
-    first = _ranked(spark, sf, None, vectors).join(_label_qrels(spark, sf, vectors), ["qid", "doc_id"]).groupBy("qid").agg(F.min("rank").alias("pos"))
+@_query(RANKED_SQL + ", p AS (SELECT qid, min(rank) FILTER (ql = cl AND qid <> doc_id) AS pos FROM r GROUP BY qid) SELECT " + ", ".join(f"round(avg(CASE WHEN pos <= {k} THEN 1.0 ELSE 0 END), 6) AS hits_{k}" for k in (1, 3, 5, 10)) + ", round(avg(coalesce(1 / pos, 0)), 6) AS mrr FROM p")
+def hits_mrr(spark, sf):
+    first = _ranked(spark, sf, None).join(_label_qrels(spark, sf), ["qid", "doc_id"]).groupBy("qid").agg(F.min("rank").alias("pos"))
     rows = first.agg(*M.hits_mrr(F.col("pos")))
     return rows.select(*[F.round(c, 6).alias(c) for c in rows.columns])
 
@@ -287,73 +289,67 @@ def mean_fusion_norm_first(spark, sf):
     return rows.select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@_query(RANKED_SQL + ", i AS (SELECT qid, doc_id, round(list_cosine_similarity(list_reverse(CAST(a AS DOUBLE[])), CAST(b AS DOUBLE[])), 9) AS si FROM q, c WHERE doc_id % 3 <> 0), w AS (SELECT s.qid, s.doc_id, round(0.25 * score + 0.75 * coalesce(si, 0), 8) AS score FROM s LEFT JOIN i USING (qid, doc_id)), x AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM w) SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank FROM x WHERE rank <= 10")
-def weighted_fusion(spark, sf, vectors=_vectors):
-    q, c = vectors(spark, sf)
-    text = _ranked(spark, sf, None, vectors).select("qid", F.col("doc_id").alias("idx"), F.round("score", 9).alias("score"))
-    image = V.dense_scores(q.select(F.col("vec_id").alias("qid"), F.reverse("embedding").alias("emb")), c.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("emb")))
-    scores = R.weighted_scores(text, image.withColumn("score", F.round("score", 9)))
-    return V.rank_scores(scores, 10, digits=8).select("qid", F.col("idx").alias("doc_id"), "rank")
+@_query(RANKED_SQL + """, w AS (SELECT qid, doc_id, list_cosine_similarity(CAST(a AS DOUBLE[]), CAST(b AS DOUBLE[])) AS t, CASE WHEN doc_id % 3 <> 0 THEN list_cosine_similarity(list_reverse(CAST(a AS DOUBLE[])), CAST(b AS DOUBLE[])) ELSE 0 END AS i FROM q, c),
+x AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(0.25 * t + 0.75 * i + 0.1 * t * i, 8) DESC, doc_id) AS rank FROM w) SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank FROM x WHERE rank <= 10""")
+def weighted_fusion(spark, sf):
+    q, c = _vectors(spark, sf)
+    queries = q.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("text_emb"), F.reverse("embedding").alias("image_emb"))
+    corpus = c.select(F.col("vec_id").alias("idx"), F.col("embedding").alias("text_emb"), F.when(F.col("vec_id") % 3 != 0, F.col("embedding")).alias("head_emb"), F.lit(None).cast("array<float>").alias("tail_emb"))
+    return R.search("MMWeighted", queries, corpus, 10, agreement=0.1, digits=8).select("qid", F.col("idx").alias("doc_id"), "rank")
 
 
 @_query(RANKED_SQL + """, hd AS (SELECT cl AS head, arg_min(b, doc_id) AS v FROM c WHERE doc_id % 2 = 0 GROUP BY cl),
 h AS (SELECT qid, head, row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_similarity(list_reverse(CAST(a AS DOUBLE[])), CAST(v AS DOUBLE[])), 9) DESC, head) AS hr FROM q, hd),
 x AS (SELECT s.qid, s.doc_id, row_number() OVER (PARTITION BY s.qid ORDER BY score DESC, doc_id) AS rank FROM s JOIN h ON h.qid = s.qid AND h.head = s.cl AND hr <= 3)
 SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank FROM x WHERE rank <= 10""")
-def two_stage_anchor(spark, sf, vectors=_vectors):
-    q, c = vectors(spark, sf)
+def two_stage_anchor(spark, sf):
+    q, c = _vectors(spark, sf)
     head = c.where("vec_id % 2 = 0").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("head_emb"))
     corpus = c.join(head, "label").select(F.col("vec_id").alias("idx"), F.col("label").alias("head"), F.col("embedding").alias("text_emb"), "head_emb")
     queries = q.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("text_emb"), F.reverse("embedding").alias("image_emb"))
     return R.anchor_topk(queries, corpus, 10, n_img=3).select("qid", F.col("idx").alias("doc_id"), "rank")
 
 
-@_query(RANKED_SQL + ", d AS (SELECT qid, cl, score, doc_id, row_number() OVER (PARTITION BY qid, cl ORDER BY score DESC, doc_id) AS n FROM s), x AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM d WHERE n = 1) SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank FROM x WHERE rank <= 6")
-def anchor_legacy(spark, sf, vectors=_vectors):
-    scores = _ranked(spark, sf, None, vectors).join(_t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("text")), "doc_id")
-    rows = R.anchor_by_text(scores.select("qid", F.col("doc_id").alias("idx"), F.round("score", 9).alias("score"), "text"), 8, 2, 3, 100)
-    return rows.select("qid", F.col("idx").alias("doc_id"), "rank")
+@_query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, first_value(CAST(embedding AS DOUBLE[])) OVER (PARTITION BY label ORDER BY vec_id) AS t, min(vec_id) OVER (PARTITION BY label) AS head FROM embeddings),
+s AS (SELECT q.vec_id AS qid, q.vec_id % 200 = 0 AS pictured, c.vec_id AS doc_id, c.vec_id = c.head AS once, round(list_cosine_similarity(q.v, c.t), 9) AS score FROM e q, e c WHERE q.vec_id % 100 = 0),
+x AS (SELECT qid, doc_id, pictured, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE once OR NOT pictured)
+SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank FROM x WHERE rank <= CASE WHEN pictured THEN 6 ELSE 3 END""")
+def anchor_legacy(spark, sf):
+    """The older anchor; a triplet's text is its label, with the vector of the label's first row. Every second query has no image."""
+    q, c = _vectors(spark, sf)
+    texts = c.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("text_emb"))
+    corpus = c.join(texts, "label").select(F.col("vec_id").alias("idx"), F.col("label").cast("string").alias("text"), "text_emb", F.col("embedding").alias("head_emb"), F.lit(None).cast("array<float>").alias("tail_emb"))
+    queries = q.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("text_emb"), F.when(F.col("vec_id") % 200 == 0, F.reverse("embedding")).alias("image_emb"))
+    return R.search("MMAnchor", queries, corpus, 8, family="A", n_img=2, n_text=3, digits=9).select("qid", F.col("idx").alias("doc_id"), "rank")
 
 
 @_query()
-def random_retriever(spark, sf, vectors=_vectors):
-    q, c = vectors(spark, sf)
+def random_retriever(spark, sf):
+    q, c = _vectors(spark, sf)
     return R.random_topk(q.select(F.col("vec_id").alias("qid")), c.count(), 10)
 
 
-def _every_hundredth(spark, sf):
-    """Every row whose id is divisible by 100, against all rows."""
-    e = _t(spark, sf, "embeddings")
-    return e.where(F.col("vec_id") % 100 == 0), e
-
-
-HUNDREDTH_SQL = RANKED_SQL.replace(f"WHERE vec_id < {N_QUERIES}", "WHERE vec_id % 100 = 0").replace(f" WHERE vec_id >= {N_QUERIES}", "")
-
-
-def _hundredth(f) -> None:
-    name = f"{f.__name__}_hundredth"
-    QUERIES[name] = lambda spark, sf: f(spark, sf, vectors=_every_hundredth)
-    if f.__name__ in ORACLES:
-        ORACLES[name] = ORACLES[f.__name__].replace(RANKED_SQL, HUNDREDTH_SQL)
-
-
-for _f in (dense_topk, block_topk, full_ranking, retrieval_metrics, retrieval_metrics_by_query, hits_mrr, weighted_fusion, two_stage_anchor, anchor_legacy, random_retriever):
-    _hundredth(_f)
-
-
 # --- answers ------------------------------------------------------------------------------------
 
-TURNS_SQL = """WITH t AS (SELECT a.conv_id, a.turn, a.text AS pred, b.text AS gold FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
-w AS (SELECT conv_id, turn, pred, array_to_string(list_filter(string_split_regex(pred, '\\s+'), lambda x: x <> '')[1:12], ' ') || ' ' || array_to_string(list_filter(string_split_regex(gold, '\\s+'), lambda x: x <> '')[1:6], ' ') AS p,
-  array_to_string(list_filter(string_split_regex(gold, '\\s+'), lambda x: x <> '')[1:8], ' ') AS g FROM t)
-""".replace("\\\\", "\\")
+TURNS_SQL = """WITH w AS (SELECT a.conv_id, a.turn, a.text AS p, b.text AS g FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+"""
+# Two golds, the next turn and the one after it.
+GOLDS_SQL = TURNS_SQL.replace("b.turn = a.turn + 1", "b.turn IN (a.turn + 1, a.turn + 2)")
+JOINED_SQL = """WITH w AS (SELECT a.conv_id, a.turn, a.text AS p, b.text || coalesce(chr(10) || c.text, '') AS g FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 LEFT JOIN conversations c ON a.conv_id = c.conv_id AND c.turn = a.turn + 2)
+"""
 
 
-def _turns(spark, sf):
+def _turns(spark, sf, away: int = 1):
+    """Every turn's whole text as the prediction ``p``, a later turn's whole text as the gold ``g``."""
     c = _t(spark, sf, "conversations")
-    rows = c.select("conv_id", "turn", F.col("text").alias("pred")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("gold")), ["conv_id", "turn"])
-    first = lambda col, n: F.array_join(F.slice(F.filter(F.split(col, r"\s+"), lambda x: x != ""), 1, n), " ")
-    return rows.select("conv_id", "turn", F.concat(first("pred", 12), F.lit(" "), first("gold", 6)).alias("p"), first("gold", 8).alias("g"))
+    return c.select("conv_id", "turn", F.col("text").alias("p")).join(c.select("conv_id", (F.col("turn") - away).alias("turn"), F.col("text").alias("g")), ["conv_id", "turn"])
+
+
+def _two_golds(spark, sf):
+    """Predictions with the texts of the next two turns as golds, as far as they exist."""
+    after = _turns(spark, sf, 2).select("conv_id", "turn", F.col("g").alias("g2"))
+    rows = _turns(spark, sf).join(after, ["conv_id", "turn"], "left")
+    return rows.select("conv_id", "turn", F.col("p").alias("pred_text"), F.array_compact(F.array("g", "g2")).alias("golds"))
 
 
 LIGHT = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
@@ -364,8 +360,8 @@ TOKENS = {
 
 
 @_query(TURNS_SQL + f", n AS (SELECT conv_id, turn, {LIGHT.format('p')} AS p, {LIGHT.format('g')} AS g FROM w) SELECT conv_id, turn, CASE WHEN g <> '' AND p = g THEN 1.0 ELSE 0.0 END::DOUBLE AS em, CASE WHEN g <> '' AND contains(p, g) THEN 1.0 ELSE 0.0 END::DOUBLE AS contains FROM n")
-def em_contains(spark, sf, turns=_turns):
-    return turns(spark, sf).select("conv_id", "turn", M.exact_match(F.col("p"), F.col("g")).alias("em"), M.contains(F.col("p"), F.col("g")).alias("contains"))
+def em_contains(spark, sf):
+    return _turns(spark, sf).select("conv_id", "turn", M.exact_match(F.col("p"), F.col("g")).alias("em"), M.contains(F.col("p"), F.col("g")).alias("contains"))
 
 
 def _of(template: str, name: str) -> str:
@@ -380,13 +376,13 @@ SELECT conv_id, turn, round(CASE WHEN n = 0 AND m = 0 THEN 1 WHEN n = 0 OR m = 0
 
 
 @_query(_f1_sql("g", "1e-12"))
-def token_f1_g(spark, sf, turns=_turns):
-    return turns(spark, sf).select("conv_id", "turn", F.round(M.token_f1(F.col("p"), F.col("g")), 6).alias("f1"))
+def token_f1_g(spark, sf):
+    return _turns(spark, sf).select("conv_id", "turn", F.round(M.token_f1(F.col("p"), F.col("g")), 6).alias("f1"))
 
 
 @_query(_f1_sql("m", "0"))
-def token_f1_m(spark, sf, turns=_turns):
-    return turns(spark, sf).select("conv_id", "turn", F.round(M.token_f1(F.col("p"), F.col("g"), light=True), 6).alias("f1"))
+def token_f1_m(spark, sf):
+    return _turns(spark, sf).select("conv_id", "turn", F.round(M.token_f1(F.col("p"), F.col("g"), light=True), 6).alias("f1"))
 
 
 def _bleu_sql(tokens: str, smooth: int = 1) -> str:
@@ -399,56 +395,36 @@ FROM l {' '.join(f'LEFT JOIN g{n} ON g{n}.conv_id = l.conv_id AND g{n}.turn = l.
 
 
 @_query(TURNS_SQL + _bleu_sql(TOKENS["g"]))
-def bleu4_g(spark, sf, turns=_turns):
-    return turns(spark, sf).select("conv_id", "turn", F.round(M.bleu4(F.col("p"), F.col("g")), 6).alias("bleu"))
+def bleu4_g(spark, sf):
+    return _turns(spark, sf).select("conv_id", "turn", F.round(M.bleu4(F.col("p"), F.col("g")), 6).alias("bleu"))
 
 
 @_query(TURNS_SQL + _bleu_sql("regexp_extract_all(" + LIGHT + ", '[a-z0-9]+')"))
-def bleu4_m(spark, sf, turns=_turns):
-    return turns(spark, sf).select("conv_id", "turn", F.round(M.bleu4(F.col("p"), F.col("g"), light=True), 6).alias("bleu"))
+def bleu4_m(spark, sf):
+    return _turns(spark, sf).select("conv_id", "turn", F.round(M.bleu4(F.col("p"), F.col("g"), light=True), 6).alias("bleu"))
 
 
 @_query(TURNS_SQL + _bleu_sql("list_filter(string_split(array_to_string(" + TOKENS["g"] + ", ' '), ''), lambda x: x <> '')", 0))
-def char_bleu(spark, sf, turns=_turns):
-    return turns(spark, sf).select("conv_id", "turn", F.round(M.char_bleu(F.col("p"), F.col("g")), 6).alias("bleu"))
-
-
-@_query(TURNS_SQL + f", n AS (SELECT conv_id, turn, {LIGHT.format('p')} AS p, {LIGHT.format('g')} AS g FROM w) SELECT conv_id, turn, 1.0::DOUBLE AS em, 1.0::DOUBLE AS contains FROM n")
-def score_best(spark, sf, turns=_turns):
-    rows = turns(spark, sf).select("conv_id", "turn", F.col("p").alias("pred_text"), F.array("g", "p").alias("golds"))
-    return M.score_answers(rows, "best").select("conv_id", "turn", "em", "contains")
-
-
-@_query(TURNS_SQL + f", n AS (SELECT conv_id, turn, {LIGHT.format('p')} AS p, {LIGHT.format('''g || chr(10) || 'zz' ''')} AS g FROM w) SELECT conv_id, turn, CASE WHEN p = g THEN 1.0 ELSE 0.0 END::DOUBLE AS em, CASE WHEN contains(p, g) THEN 1.0 ELSE 0.0 END::DOUBLE AS contains FROM n")
-def score_joined(spark, sf, turns=_turns):
-    rows = turns(spark, sf).select("conv_id", "turn", F.col("p").alias("pred_text"), F.array(F.col("g"), F.lit("zz")).alias("golds"))
-    return M.score_answers(rows, "joined", light=False).select("conv_id", "turn", "em", "contains")
-
-
-def _whole_turns(spark, sf):
-    """Every turn's full text as the prediction, the full next turn as the gold."""
-    c = _t(spark, sf, "conversations")
-    return c.select("conv_id", "turn", F.col("text").alias("p")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("g")), ["conv_id", "turn"])
-
-
-WHOLE_TURNS_SQL = """WITH w AS (SELECT a.conv_id, a.turn, a.text AS p, b.text AS g FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
-"""
+def char_bleu(spark, sf):
+    return _turns(spark, sf).select("conv_id", "turn", F.round(M.char_bleu(F.col("p"), F.col("g")), 6).alias("bleu"))
 
 
-def _whole(f) -> None:
-    name = f"{f.__name__}_whole"
-    QUERIES[name] = lambda spark, sf: f(spark, sf, turns=_whole_turns)
-    ORACLES[name] = ORACLES[f.__name__].replace(TURNS_SQL, WHOLE_TURNS_SQL)
+def _answers_sql(turns: str, kind: str, eps: str) -> str:
+    f1 = _f1_sql(kind, eps).replace(TURNS_SQL, "", 1).lstrip(", ").replace("k AS (", "WITH k AS (", 1)
+    exact = f"""SELECT conv_id, turn, CASE WHEN lg <> '' AND lp = lg THEN 1.0 ELSE 0.0 END::DOUBLE AS em, CASE WHEN lg <> '' AND contains(lp, lg) THEN 1.0 ELSE 0.0 END::DOUBLE AS contains
+    FROM (SELECT conv_id, turn, {LIGHT.format('p')} AS lp, {LIGHT.format('g')} AS lg FROM w)"""
+    return turns + f""", x AS ({exact}), y AS ({f1}), xm AS (SELECT conv_id, turn, max(em) AS em, max(contains) AS contains FROM x GROUP BY ALL), ym AS (SELECT conv_id, turn, max(f1) AS f1 FROM y GROUP BY ALL)
+SELECT conv_id, turn, em, contains, f1 FROM xm JOIN ym USING (conv_id, turn)"""
 
 
-for _f in (em_contains, token_f1_g, token_f1_m, bleu4_g, bleu4_m, char_bleu, score_joined):
-    _whole(_f)
+@_query(_answers_sql(GOLDS_SQL, "m", "0"))
+def score_best(spark, sf):
+    return M.score_answers(_two_golds(spark, sf), "best").select("conv_id", "turn", "em", "contains", F.round("f1", 6).alias("f1"))
 
 
-@_query(WHOLE_TURNS_SQL + f", n AS (SELECT conv_id, turn, {LIGHT.format('p')} AS p, {LIGHT.format('g')} AS g FROM w) SELECT conv_id, turn, CASE WHEN g <> '' AND p = g OR p = 'zz' THEN 1.0 ELSE 0.0 END::DOUBLE AS em, CASE WHEN g <> '' AND contains(p, g) OR contains(p, 'zz') THEN 1.0 ELSE 0.0 END::DOUBLE AS contains FROM n")
-def score_best_whole(spark, sf):
-    rows = _whole_turns(spark, sf).select("conv_id", "turn", F.col("p").alias("pred_text"), F.array(F.col("g"), F.lit("zz")).alias("golds"))
-    return M.score_answers(rows, "best").select("conv_id", "turn", "em", "contains")
+@_query(_answers_sql(JOINED_SQL, "g", "1e-12"))
+def score_joined(spark, sf):
+    return M.score_answers(_two_golds(spark, sf), "joined", light=False).select("conv_id", "turn", "em", "contains", F.round("f1", 6).alias("f1"))
 
 
 @_query("SELECT avg((quality = toxic)::INTEGER) AS accuracy, count(*) FILTER (quality = 1 AND toxic = 1) / nullif(count(*) FILTER (toxic = 1), 0) AS precision, count(*) FILTER (quality = 1 AND toxic = 1) / nullif(count(*) FILTER (quality = 1), 0) AS recall, 2 * count(*) FILTER (quality = 1 AND toxic = 1) / (count(*) FILTER (toxic = 1) + count(*) FILTER (quality = 1)) AS f1 FROM labels".replace("SELECT avg", "SELECT round(avg").replace(" AS accuracy,", ", 9) AS accuracy, round(").replace(" AS precision,", ", 9) AS precision, round(").replace(" AS recall,", ", 9) AS recall, round(").replace(" AS f1", ", 9) AS f1"))

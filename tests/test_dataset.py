@@ -48,6 +48,8 @@ def test_remap_takes_the_largest_grade(spark):
     target = corpus(spark, (7, "Q1", "P1", "Q2"), (9, "Q1", "P1", "Q2"), (8, None, "", ""))
     qrels = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 1), (2, 1, 0)], "qid int, doc_id int, rel int")
     assert sorted(map(tuple, D.remap_qrels(qrels, source, target).collect())) == [(1, 7, 2), (1, 9, 2)]
+    kept = D.remap_qrels(qrels, source, target, keep_unmatched=True).where("qid = 2").collect()
+    assert [tuple(r) for r in kept] == [(2, None, None)]
 
 
 def test_paths_and_strip(spark):
@@ -69,7 +71,9 @@ def test_gold_answers(spark):
     docs = spark.createDataFrame([(1, "h", "r", "t1", None, None, " Lung ", None), (2, "h", "r", "t2", None, None, "lung", None), (3, "h", "r", "t3", None, None, "heart", None)], CORPUS)
     queries = spark.createDataFrame([(1, None)], "qid int, masked_type string")
     qrels = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (1, 3, 1)], "qid int, doc_id int, rel int")
-    assert D.gold_answers(queries, qrels, docs).first().golds == [" Lung ", "heart"]
+    assert D.gold_answers(queries, qrels, docs).first().golds == ["Lung", "heart"]
+    assert D.gold_answers(queries.withColumn("masked_type", F.lit(" Head ")), qrels, docs).count() == 0
+    assert D.gold_answers(queries.withColumn("masked_type", F.lit(" Head ")), qrels, docs, id_fallback=True).first().golds == ["h"]
 
 
 def test_dense_index_is_gapless(spark):

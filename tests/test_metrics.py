@@ -79,7 +79,7 @@ def test_whole_turns_are_scored(spark, tmp_path):
     rows = [(1, 0, start + " end"), (1, 1, start + " end"), (1, 2, start + " other"), (2, 0, "unlike words"), (2, 1, "nothing shared")]
     spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     get = lambda name, col: {(r.conv_id, r.turn): r[col] for r in QUERIES[name](spark, str(tmp_path)).collect()}
-    assert get("em_contains_whole", "em") == get("score_best_whole", "em") == {(1, 0): 1, (1, 1): 0, (2, 0): 0}
-    assert get("em_contains_whole", "contains")[1, 1] == get("score_best_whole", "contains")[2, 0] == 0
-    assert get("token_f1_g_whole", "f1") == {(1, 0): 1, (1, 1): round(40 / 41, 6), (2, 0): 0}
-    assert 0.9 < get("bleu4_m_whole", "bleu")[1, 1] < 1
+    assert get("em_contains", "em") == get("score_best", "em") == {(1, 0): 1, (1, 1): 0, (2, 0): 0}
+    assert get("em_contains", "contains")[1, 1] == get("score_best", "contains")[2, 0] == 0
+    assert get("token_f1_g", "f1") == {(1, 0): 1, (1, 1): round(40 / 41, 6), (2, 0): 0}
+    assert 0.9 < get("bleu4_m", "bleu")[1, 1] < 1

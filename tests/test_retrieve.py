@@ -32,17 +32,16 @@ def ranks(df):
 @pytest.mark.parametrize("parts, block", [(1, 4096), (6, 2)])
 def test_block_topk_equals_brute_force(spark, vectors, parts, block):
     q, c, queries, corpus = vectors
-    got = V.block_topk(queries.select("qid", F.col("text_emb").alias("emb")), corpus.select("idx", F.col("text_emb").alias("emb")).repartition(parts), 9, block)
+    got = V.block_topk(queries.select("qid", F.col("text_emb").alias("emb")), corpus.select("idx", F.col("text_emb").alias("emb")).repartition(parts), 9, block=block, corpus_block=7 * block)
     assert ranks(got) == brute(q, c, 9)
-    dense = V.rank_scores(V.dense_scores(queries.select("qid", F.col("text_emb").alias("emb")), corpus.select("idx", F.col("text_emb").alias("emb"))), 9)
-    assert ranks(dense) == brute(q, c, 9)
 
 
 def test_topk_limits(spark, vectors):
     _, _, queries, corpus = vectors
     q, c = queries.select("qid", F.col("text_emb").alias("emb")), corpus.select("idx", F.col("text_emb").alias("emb"))
     assert V.block_topk(q, c, 0).count() == 0
-    assert V.block_topk(q, c, 1000).count() == 5 * 60
+    assert V.block_topk(q, c, 1000).count() == V.block_topk(q, c, None).count() == 5 * 60
+    assert V.block_topk(q, c.limit(0), 3).count() == 0
     assert V.block_topk(q.limit(0), c, 3).count() == 0
 
 
@@ -54,6 +53,41 @@ def test_random_is_without_repeats(spark, vectors):
         assert all(0 <= r.idx < n and r.score == min(k, n) - r["rank"] + 1 for r in rows)
 
 
+def test_random_sets_are_equally_likely(spark):
+    """All sets of 2 out of 5, each about as often as the others."""
+    from collections import Counter
+
+    rows = R.random_topk(spark.range(6000).withColumnRenamed("id", "qid"), 5, 2).groupBy("qid").agg(F.sort_array(F.collect_list("idx")).alias("s")).collect()
+    seen = Counter(tuple(r.s) for r in rows)
+    assert len(seen) == 10 and all(abs(n - 600) < 120 for n in seen.values())
+
+
+def test_weighted_fusion_with_agreement(spark, vectors):
+    q, c, queries, corpus = vectors
+    pictured = corpus.withColumns({"head_emb": F.when(F.col("idx") % 2 == 0, F.reverse("text_emb")), "tail_emb": F.when(F.col("idx") % 3 == 0, F.col("text_emb"))})
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    image = np.array([np.mean([unit(v)] if False else [w for w in ([unit(v[::-1])] if i % 2 == 0 else []) + ([unit(v)] if i % 3 == 0 else [])] or [np.zeros(8)], axis=0) for i, v in enumerate(c)])
+    t, s = unit(q) @ unit(c).T, np.array([np.zeros(8) if i == 0 else unit(v[::-1]) for i, v in enumerate(q)]) @ image.T
+    score = 0.25 * t + 0.75 * s + 0.3 * t * s
+    got = ranks(R.search("MMWeighted", queries, pictured, 7, agreement=0.3))
+    assert got == {i: np.argsort(-row, kind="stable")[:7].tolist() for i, row in enumerate(score)}
+
+
+def test_older_anchor_by_family(spark, vectors):
+    """Distinct texts in text order with an image, the first rows without one."""
+    q, c, queries, corpus = vectors
+    texts = c[[i % 20 for i in range(60)]]
+    rows = spark.createDataFrame([(i, f"t{i % 20}", v.tolist(), v.tolist() if i < 3 else None) for i, v in enumerate(texts)], "idx long, text string, text_emb array<double>, head_emb array<double>")
+    rows = rows.withColumn("tail_emb", F.lit(None).cast("array<double>"))
+    got = ranks(R.search("MMAnchor", queries, rows, 50, family="A", n_img=4, n_text=2, digits=9))
+    want = brute(q, texts, 60)
+    assert got[0][0] == want[0][0] and len(got[0]) == 2
+    for i in range(1, 5):
+        assert got[i] == list(dict.fromkeys(x % 20 for x in want[i]))[:6]
+    bare = ranks(R.search("MMAnchor", queries, rows.withColumn("head_emb", F.lit(None).cast("array<double>")), 50, family="Q", n_text=3, digits=9))
+    assert all(len(x) == 3 for x in bare.values())
+
+
 def test_anchor_keeps_to_chosen_heads(spark, vectors):
     q, c, queries, corpus = vectors
     heads = corpus.groupBy("head").agg(F.min_by("text_emb", "idx").alias("head_emb"))
@@ -118,6 +152,6 @@ def test_hundredth_queries_search_every_row(spark, tmp_path):
 
     rows = [(i, i % 3, [float(i % 7 + 1), float(i % 11 + 1)]) for i in range(301)]
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    found = QUERIES["full_ranking_hundredth"](spark, str(tmp_path)).collect()
+    found = QUERIES["full_ranking"](spark, str(tmp_path)).collect()
     assert {r.qid for r in found} == {0, 100, 200, 300} and len(found) == 4 * 301
-    assert {r.qid for r in QUERIES["random_retriever_hundredth"](spark, str(tmp_path)).collect()} == {0, 100, 200, 300}
+    assert {r.qid for r in QUERIES["random_retriever"](spark, str(tmp_path)).collect()} == {0, 100, 200, 300}
