@@ -17,6 +17,7 @@ CHOICES = {
     "G": ("swap", "crop", "rotate", "jitter", "crop+jitter", "rotate+jitter"),
     "M": ("crop", "rotate", "jitter", "crop+jitter", "rotate+jitter"),
 }
+PLAIN_CROP, PLAIN_QUALITY, LEAST_SIDE = 0.75, 92, 4  # family M: share of each side kept, stored quality, smallest side cropped
 CROP, DEGREES, JITTER, SHARPEN, BLUR, QUALITY = (0.75, 0.95), 10.0, (0.85, 1.15), (0.90, 1.10), (0.4, 1.0), (85, 95)
 BLUR_CHANCE = 0.3
 
@@ -47,6 +48,27 @@ def crop(im: np.ndarray, rng: random.Random) -> np.ndarray:
     return resample(im, rows, cols)
 
 
+def plain_crop(im: np.ndarray, rng: random.Random) -> np.ndarray:
+    """A random window of a fixed share, not scaled back; small images are unchanged."""
+    h, w = im.shape[:2]
+    nh, nw = max(1, int(h * PLAIN_CROP)), max(1, int(w * PLAIN_CROP))
+    if min(h, w) < LEAST_SIDE or nh >= h or nw >= w:
+        return im
+    left, top = rng.randint(0, w - nw), rng.randint(0, h - nh)
+    return im[top : top + nh, left : left + nw]
+
+
+def plain_rotate(im: np.ndarray, rng: random.Random) -> np.ndarray:
+    """Turned by a few degrees; the frame grows to hold all of the image, on black."""
+    h, w = im.shape[:2]
+    a = np.deg2rad(rng.uniform(-DEGREES, DEGREES))
+    nh, nw = (int(np.ceil(abs(x * np.cos(a)) + abs(y * np.sin(a)) - 1e-9)) for x, y in ((h, w), (w, h)))
+    r, c = np.meshgrid(np.arange(nh) - (nh - 1) / 2, np.arange(nw) - (nw - 1) / 2, indexing="ij")
+    rows, cols = r * np.cos(a) - c * np.sin(a) + (h - 1) / 2, r * np.sin(a) + c * np.cos(a) + (w - 1) / 2
+    inside = (rows > -0.5) & (rows < h - 0.5) & (cols > -0.5) & (cols < w - 0.5)
+    return resample(im, rows, cols) * inside[..., None]
+
+
 def rotate(im: np.ndarray, rng: random.Random) -> np.ndarray:
     """Turned by a few degrees about the centre, size kept."""
     h, w = im.shape[:2]
@@ -87,11 +109,13 @@ def augment(im: np.ndarray, seed: int, family: str = "G", others: tuple[np.ndarr
         else:
             done = "jitter"
     out = im.astype(float)
+    plain = family == "M"
+    steps = {"crop": plain_crop if plain else crop, "rotate": plain_rotate if plain else rotate, "jitter": lambda x, r: jitter(x, r, sharpen=not plain), "swap": lambda x, _: x}
     for step in done.split("+"):
-        out = {"crop": crop, "rotate": rotate}[step](out, rng) if step in ("crop", "rotate") else jitter(out, rng, family == "G") if step == "jitter" else out
-    if rng.random() < BLUR_CHANCE:
+        out = steps[step](out, rng)
+    if not plain and rng.random() < BLUR_CHANCE:
         out = blur(out, rng.uniform(*BLUR))
-    return done, np.clip(np.round(out), 0, 255).astype(np.uint8), rng.randint(*QUALITY)
+    return done, np.clip(np.round(out), 0, 255).astype(np.uint8), PLAIN_QUALITY if plain else rng.randint(*QUALITY)
 
 
 def shrink(im: np.ndarray, longest: int = 256) -> np.ndarray:
@@ -115,6 +139,14 @@ def flatten_alpha(im: np.ndarray, background: int = 255) -> np.ndarray:
     return im
 
 
+def to_rgb(im: np.ndarray, mode: str = "") -> np.ndarray:
+    """Three channels of any decoded image; four channels are inks if ``mode`` is CMYK, else colour and transparency."""
+    if mode == "CMYK":
+        inks = im.astype(float) / 255
+        return np.round(255 * (1 - inks[:, :, :3]) * (1 - inks[:, :, 3:])).astype(np.uint8)
+    return flatten_alpha(im)
+
+
 def placeholder(side: int = 224) -> np.ndarray:
     """The black image that stands for an unreadable one."""
     return np.zeros((side, side, 3), np.uint8)

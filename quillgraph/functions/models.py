@@ -156,3 +156,79 @@ def tokenize_features(df: DataFrame, column: str, load: Callable[[], Callable[[s
             yield s.map(lambda t: encode(t) if t is not None else None)
 
     return df.withColumn(out, run(F.col(column)))
+
+
+def cached_entity_images(images: DataFrame, load: Callable[[], Encode], model: str, cache_path: str) -> DataFrame:
+    """``entity_id``, ``emb`` of each entity's resolved image through a cache.
+
+    ``images`` has ``entity_id``, ``path``, ``length``, ``modificationTime`` and
+    ``content``; rows without content are dropped. The key names the model, the
+    entity, the file, its size and its time of change to the microsecond, so a
+    changed file is encoded anew and all others are read from the cache.
+    """
+    spark = images.sparkSession
+    schema = "key string, emb array<float>"
+    stamp = image_key(F.col("entity_id"), F.col("path"), F.col("length"), F.unix_micros("modificationTime"))
+    keyed = images.where(F.col("content").isNotNull()).withColumn("key", F.sha1(F.concat_ws("\u0000", F.lit(model), stamp)))
+    spark.createDataFrame([], schema).write.mode("append").parquet(cache_path)
+    known = spark.read.schema(schema).parquet(cache_path)
+    missing = keyed.select("key", "content").join(known.select("key"), "key", "left_anti").dropDuplicates(["key"])
+    embed(missing, "content", load).select("key", "emb").write.mode("append").parquet(cache_path)
+    cache = spark.read.schema(schema).parquet(cache_path).dropDuplicates(["key"])
+    return keyed.select("entity_id", "key").join(cache, "key").select("entity_id", "emb")
+
+
+def cached_captions(images: DataFrame, load: Callable[[], Callable[[Sequence[bytes]], list[str]]], cache_path: str, by_entity: bool = False) -> DataFrame:
+    """``entity_id``, ``caption`` through a cache keyed by the image file, or by the entity alone (then a missing image is cached as empty)."""
+    spark = images.sparkSession
+    schema = "key string, caption string"
+    stamp = F.col("entity_id") if by_entity else image_key(F.col("entity_id"), F.col("path"), F.col("length"), F.unix_micros("modificationTime"))
+    keyed = (images if by_entity else images.where(F.col("content").isNotNull())).withColumn("key", stamp)
+    spark.createDataFrame([], schema).write.mode("append").parquet(cache_path)
+    known = spark.read.schema(schema).parquet(cache_path)
+    missing = keyed.select("key", "content").join(known.select("key"), "key", "left_anti").dropDuplicates(["key"])
+    caption(missing, "content", load).select("key", "caption").write.mode("append").parquet(cache_path)
+    cache = spark.read.schema(schema).parquet(cache_path).dropDuplicates(["key"])
+    return keyed.select("entity_id", "key").join(cache, "key").select("entity_id", "caption")
+
+
+def cached_features(df: DataFrame, column: str, load: Callable[[], Callable[[str], list[int]]], cache_path: str, refresh: bool = False) -> DataFrame:
+    """``tokenize_features`` through a table: stored features are read unless ``refresh`` asks for new ones."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(f"{cache_path}/_SUCCESS")
+    if refresh or not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        tokenize_features(df, column, load).write.mode("overwrite").parquet(cache_path)
+    return spark.read.parquet(cache_path)
+
+
+def generate_segments(df: DataFrame, blocks: str, load: Callable[[], Callable[[list[dict], list[bytes]], str]]) -> DataFrame:
+    """Adds ``pred_text`` of an injected local vision-language model.
+
+    ``blocks`` is an array of (type, text, image_url); image addresses must be
+    data URLs and reach the model as bytes, in order.
+    """
+    import base64
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = load()
+
+        def one(parts) -> str:
+            segments, images = [], []
+            for p in parts:
+                if p["image_url"] is None:
+                    segments.append({"type": "text", "text": p["text"]})
+                else:
+                    head, _, data = p["image_url"].partition(",")
+                    if not head.startswith("data:"):
+                        raise ValueError("an image address must be a data URL")
+                    segments.append({"type": "image"})
+                    images.append(base64.b64decode(data))
+            return call(segments, images)
+
+        for frame in frames:
+            yield frame.assign(pred_text=[one(b) for b in frame[blocks]])
+
+    return df.mapInPandas(run, f"{schema}, pred_text string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import write_table
 from ..functions.text import light_normalise, short_path, strip
 
 TRIPLE = ("head_id", "rel_id", "tail_id")
@@ -13,14 +14,17 @@ TRIPLE = ("head_id", "rel_id", "tail_id")
 def dense_index(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
     """Adds the 0-based position by ``order``, without one task sorting all rows.
 
-    Rows are range-partitioned and ranked within partitions; only one count a
-    partition is summed up over them.
+    Rows are range-partitioned and sorted once and stored with their partition
+    and their rank in it; only one count a partition is summed up over them.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    local = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = local.groupBy("_p").agg(F.count("*").alias("n"))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The id has the partition in its high bits and the row's rank in the low 33.
+    stored = write_table(ranged.withColumn("_m", F.monotonically_increasing_id()), "ranged")
+    part, rank = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = stored.groupBy(part.alias("_p")).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return local.join(F.broadcast(sizes.select("_p", before.alias("_before"))), "_p").withColumn(name, (F.col("_before") + F.col("_r") - 1).cast("long")).drop("_p", "_r", "_before")
+    placed = stored.withColumn("_p", part).join(F.broadcast(sizes.select("_p", before.alias("_before"))), "_p")
+    return placed.withColumn(name, (F.col("_before") + rank).cast("long")).drop("_p", "_m", "_before")
 
 
 def triplets(corpus: DataFrame) -> DataFrame:
@@ -81,10 +85,12 @@ def union_primary(primary: DataFrame, other: DataFrame) -> DataFrame:
     return primary.unionByName(_shifted(other, doc_id=next_id(primary, "doc_id")), allowMissingColumns=True)
 
 
-def eval_qids(queries: DataFrame, qrels: DataFrame, positive: bool = True, limit: int | None = None) -> DataFrame:
-    """Ids with judgements (with a positive one if asked), the first ``limit`` by id if given."""
+def eval_qids(queries: DataFrame, qrels: DataFrame, positive: bool = True, limit: int | None = None, chosen: DataFrame | None = None) -> DataFrame:
+    """Ids with judgements (with a positive one if asked), only those of ``chosen`` and only the first ``limit`` by id if given."""
     judged = (qrels.where("rel > 0") if positive else qrels).select("qid").distinct()
     out = queries.select("qid").distinct().join(judged, "qid", "left_semi")
+    if chosen is not None:
+        out = out.join(chosen.select("qid").distinct(), "qid", "left_semi")
     return out.orderBy("qid").limit(limit) if limit is not None else out
 
 
@@ -129,9 +135,13 @@ def edges_with_text(edges: DataFrame, entities: DataFrame, relations: DataFrame)
     return tagged.where(ok).drop(*flags), tagged.where(~ok).drop(*flags)
 
 
-def materialise(ranked: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Ranked rows with their corpus fields; unknown documents drop out."""
-    return ranked.join(corpus, "doc_id")
+# The corpus fields that go into a retrieved item.
+ITEM_FIELDS = ("head_id", "rel_id", "tail_id", "head_text", "rel_text", "tail_text", "triplet_text", "image_path")
+
+
+def materialise(ranked: DataFrame, corpus: DataFrame, fields: tuple[str, ...] = ITEM_FIELDS) -> DataFrame:
+    """Ranked rows with those of the ``fields`` that the corpus has; unknown documents drop out."""
+    return ranked.join(corpus.select("doc_id", *[c for c in fields if c in corpus.columns]), "doc_id")
 
 
 def triple_key(c: str) -> Column:

@@ -479,11 +479,38 @@ def rag_prompt(spark, sf):
     return P.evidence(ranked, mm["corpus"]).select("qid", P.flat(F.col("evidence")).alias("prompt"))
 
 
-@_query("SELECT CAST(p_partkey AS VARCHAR) AS pid, 'Now, please answer the question.Question: ' || p_name || chr(10) || 'Context: N/A' || chr(10) || 'Options: (A) ' || p_brand || ' (B) ' || p_type || chr(10) || 'Answer:' AS prompt FROM part")
+def _mcq_sql(fmt: str, test: bool, table: str) -> str:
+    """One example in SQL; part's name, brand, type and container-free texts stand for question, hint and reasons."""
+    because = {"L": "'BECAUSE: ' || lec || chr(10)", "E": "'BECAUSE: ' || sol || chr(10)", "LE": "'BECAUSE: ' || lec || ' ' || sol || chr(10)"}
+    line = {"C": "'Context: ' || ctx || chr(10)", "Q": "'Question: ' || p_name || chr(10)", "M": "'Options: (A) ' || p_brand || ' (B) ' || p_type || chr(10)", **because}
+    shown, said = fmt.split("-")
+    letters = {"QCMLE": ["Q", "C", "M", "LE"], "QCLEM": ["Q", "C", "LE", "M"]}.get(shown, list(shown))
+    answer = "'The answer is ' || (CASE WHEN p_size % 2 = 0 THEN 'A' ELSE 'B' END) || '.'"
+    reasons = {"A": "", "AL": "sol", "AE": "lec", "ALE": "lec || ' ' || sol", "AEL": "sol || ' ' || lec", "LA": "lec", "EA": "sol", "LEA": "lec || ' ' || sol", "ELA": "sol || ' ' || lec"}[said]
+    out = "'Answer:'" if test else f"'Answer: ' || {answer}" if said == "A" else f"'Answer: ' || {answer} || ' BECAUSE: ' || {reasons}" if said[0] == "A" else f"'Answer: ' || {reasons} || ' ' || {answer}"
+    body = ("'Now, please answer the question.' || " if test else "") + " || ".join(line[x] for x in letters) + f" || {out}"
+    return f"SELECT p_partkey, trim(replace({body}, '  ', ' ')) AS text FROM {table}"
+
+
+MCQ_SQL = """WITH b AS (SELECT p_partkey, p_name, p_brand, p_type, p_size, CASE WHEN p_size % 3 = 0 THEN 'size ' || p_size ELSE 'N/A' END AS ctx, 'all ' || p_brand || chr(92) || 'n are alike' AS lec, 'it is  ' || p_type AS sol FROM part)
+"""
+
+
+@_query(MCQ_SQL + " UNION ALL ".join(
+    f"SELECT CAST(t.p_partkey AS VARCHAR) AS pid, '{fmt}' AS format, md5(s.shots || chr(10) || chr(10) || t.text) AS digest FROM ({_mcq_sql(fmt, True, 'b')}) t, (SELECT string_agg(text, chr(10) || chr(10) ORDER BY p_partkey) AS shots FROM ({_mcq_sql(fmt, False, 'b')}) WHERE p_partkey <= 3) s"
+    for fmt in P.FORMATS))
 def mcq_prompt(spark, sf):
-    problems = _t(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("pid"), F.col("p_name").alias("question"), F.array("p_brand", "p_type").alias("choices"), F.lit(0).alias("answer"), F.lit("").alias("hint"), F.lit("").alias("lecture"), F.lit("").alias("solution"))
-    shots = problems.limit(0).withColumn("pos", F.lit(0))
-    return P.few_shot(problems, shots, "QCM-A")
+    """Every part as a problem in all formats, after the stated shots (parts 1 to 3)."""
+    size = F.col("p_size")
+    problems = _t(spark, sf, "part").select(
+        "p_partkey", F.col("p_partkey").cast("string").alias("pid"), F.col("p_name").alias("question"), F.array("p_brand", "p_type").alias("choices"), (size % 2).cast("int").alias("answer"),
+        F.when(size % 3 == 0, F.concat(F.lit("size "), size.cast("string"))).otherwise("").alias("hint"), F.concat(F.lit("all "), "p_brand", F.lit("\n are alike")).alias("lecture"), F.concat(F.lit("it is  "), "p_type").alias("solution"),
+    )
+    shots, out = problems.where("p_partkey <= 3").withColumn("pos", F.col("p_partkey")), None
+    for fmt in P.FORMATS:
+        rows = P.few_shot(problems, shots, fmt).select("pid", F.lit(fmt).alias("format"), F.md5("prompt").alias("digest"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @_query("SELECT page_id, array_to_string(list_filter(string_split(replace(url, chr(92), '/'), '/'), lambda x: x <> '')[-2:], '/') AS path FROM pages")
@@ -554,3 +581,6 @@ def event_windows(spark, sf):
     from .streaming.incremental import windowed_counts
 
     return windowed_counts(_t(spark, sf, "events")).withColumn("total", F.round("total", 4))
+
+
+from . import file_queries  # noqa: E402, F401 (registers its queries here)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, extension, join_path, strip
+from ..operators.dataset import dense_index
 
 QUERY_SCHEMA = "qid INT, query STRING, is_multimodal BOOLEAN, masked_type STRING, head_id STRING, rel_id STRING, tail_id STRING"
 CORPUS_SCHEMA = "doc_id INT, head_id STRING, rel_id STRING, tail_id STRING, head_text STRING, rel_text STRING, tail_text STRING, triplet_text STRING, image_path STRING"
@@ -33,8 +34,9 @@ def keyed_jsonl(spark: SparkSession, path: str, schema: str, key: str) -> DataFr
     lines = text_lines(spark, path).where(strip(F.col("line")) != "")
     parsed = lines.select("line_no", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r")).select("line_no", "r.*")
     checked = parsed.withColumn(key, F.when(F.col(key).isNull(), F.raise_error(F.lit(f"a line lacks {key}"))).otherwise(F.col(key)).cast("int"))
-    last = F.row_number().over(Window.partitionBy(key).orderBy(F.col("line_no").desc()))
-    return checked.withColumn("_n", last).where("_n = 1").drop("_n", "line_no")
+    names = [c for c in checked.columns if c != "line_no"]
+    last = checked.groupBy(key).agg(F.max_by(F.struct(*names), "line_no").alias("r"))
+    return last.select(*[F.col(f"r.{c}").alias(c) for c in names])
 
 
 def queries(spark: SparkSession, path: str) -> DataFrame:
@@ -81,10 +83,12 @@ def triplets_txt(spark: SparkSession, path: str, strict: bool = False) -> DataFr
     return rows.select("line_no", at(0).alias("head"), at(1).alias("relation"), at(2).alias("tail"))
 
 
-def id_text(spark: SparkSession, path: str) -> DataFrame:
-    """``id`` and ``text`` (further fields joined by blanks); the last of equal ids wins."""
+def id_text(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """``id`` and ``text`` (further fields joined by blanks); the last of equal ids wins. ``strict`` demands exactly one tab."""
     rows = triplets_txt(spark, path)
     text = F.array_join(F.slice("fields", F.lit(2), F.size("fields")), " ")
+    if strict:
+        text = F.when(F.size("fields") != 2, F.raise_error(F.lit("a line needs exactly one tab"))).otherwise(text)
     return rows.select(F.get("fields", F.lit(0)).alias("id"), text.alias("text"), "line_no").groupBy("id").agg(F.max_by("text", "line_no").alias("text"))
 
 
@@ -96,7 +100,7 @@ def tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
 def id_list(spark: SparkSession, path: str) -> DataFrame:
     """``id`` and its 0-based dense ``pos`` in file order."""
     rows = text_lines(spark, path).select(strip(F.col("line")).alias("id"), "line_no").where("id <> ''")
-    return rows.select("id", (F.row_number().over(Window.orderBy("line_no")) - 1).alias("pos"))
+    return dense_index(rows, "line_no", name="pos").select("id", "pos")
 
 
 def analogies(spark: SparkSession, path: str) -> DataFrame:
@@ -183,21 +187,39 @@ def vqa(rows: DataFrame, dataset: str, closed: bool, question: str = "question",
     return out.where("answer_close is not null" if closed else "answer_open is not null")
 
 
-def slake(spark: SparkSession, path: str, closed: bool, images: DataFrame) -> DataFrame:
-    """English rows whose image exists."""
+def slake(spark: SparkSession, path: str, closed: bool, images: DataFrame, root: str = "") -> DataFrame:
+    """English rows whose image ``{root}/{img_name}`` exists among ``images`` (``path``)."""
     raw = spark.read.option("multiLine", True).schema("q_lang STRING, question STRING, answer STRING, img_name STRING").json(path)
-    return vqa(raw.where("q_lang = 'en'").join(images.select(F.col("path").alias("img_name")), "img_name", "left_semi"), "slake", closed, image="img_name")
+    placed = raw.where("q_lang = 'en'").withColumn("path", join_path(F.lit(root), F.col("img_name")) if root else F.col("img_name"))
+    return vqa(placed.join(images.select("path").distinct(), "path", "left_semi"), "slake", closed, image="path")
 
 
 def vqa_rad(spark: SparkSession, path: str, closed: bool, part: str | None = None, val_share: float = 0.1, seed: str = "42") -> DataFrame:
-    """All rows, or the ``train`` or ``val`` part of a hash-ordered cut."""
+    """All rows (the test file), or the ``train`` or ``val`` part of the training file.
+
+    Rows go in order of a seeded hash of their fields and, for equal rows, of
+    their place; the first ``1 - val_share`` of them, rounded down, are for training.
+    """
     raw = spark.read.option("multiLine", True).schema("question STRING, answer STRING, image_name STRING").json(path)
     if part:
-        chance = F.conv(F.substring(F.sha1(F.concat_ws("::", F.lit(seed), "image_name", "question", "answer")), 1, 8), 16, 10).cast("double") / 2**32
-        raw = raw.where(chance < val_share if part == "val" else chance >= val_share)
+        hashed = raw.withColumns({"_h": F.sha1(F.concat_ws("::", F.lit(seed), "image_name", "question", "answer")), "_k": F.monotonically_increasing_id()})
+        placed = dense_index(hashed, "_h", "_k", name="_i").crossJoin(F.broadcast(raw.agg(F.floor(F.count("*") * (1 - val_share)).alias("_cut"))))
+        raw = placed.where(F.col("_i") >= F.col("_cut") if part == "val" else F.col("_i") < F.col("_cut"))
     return vqa(raw, "vqa_rad", closed, image="image_name")
 
 
+def path_vqa(spark: SparkSession, folder: str, split: str, closed: bool) -> DataFrame:
+    """The hub's snapshot of a split, with the image bytes: ``image``, and the unified columns (no path).
+
+    Bytes are passed on; ``images.to_rgb`` brings every decoded mode, CMYK too, to three channels.
+    """
+    raw = snapshot(spark, f"{folder}/{split_name(split)}")
+    close, open_ = closed_answer(F.col("answer"))
+    content = F.col("image.bytes") if raw.schema["image"].dataType.typeName() == "struct" else F.col("image")
+    out = raw.select(content.alias("image"), "question", close.alias("answer_close"), open_.alias("answer_open"), F.lower(strip(F.col("answer"))).alias("answer_text"), F.lit("path_vqa").alias("dataset"))
+    return out.where("answer_close is not null" if closed else "answer_open is not null")
+
+
 def load_split(spark: SparkSession, data_dir: str, overrides: dict[str, str] | None = None, need: str = "either") -> dict[str, DataFrame]:
     """The six files of a split folder, each path overridable; ``need`` is ``both`` or ``either`` modality."""
     jvm = spark.sparkContext._jvm

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -29,9 +30,12 @@ def write_splits(parts: dict[str, dict[str, DataFrame]], folder: str, names: dic
                 write_jsonl(df, "qid" if name.endswith("queries") else "doc_id", f"{out}/{name}.jsonl")
 
 
-def write_log(df: DataFrame, path: str) -> None:
-    """Retrieved or generated records as JSON."""
-    df.write.option("ignoreNullFields", False).mode("overwrite").json(path)
+def write_log(df: DataFrame, folder: str, name: str) -> str:
+    """Retrieved or generated records as JSON below a sanitised ``name``; returns the path. Binary columns, which JSON lacks, go as base64."""
+    path = f"{folder}/{re.sub('[^A-Za-z0-9._-]+', '_', name)}"
+    plain = [F.base64(f"`{f.name}`").alias(f.name) if f.dataType.typeName() == "binary" else F.col(f"`{f.name}`") for f in df.schema.fields]
+    df.select(*plain).write.option("ignoreNullFields", False).mode("overwrite").json(path)
+    return path
 
 
 def metrics_report(rows: list, setting: str, retriever: str) -> dict[str, str]:
