@@ -1,85 +1,13 @@
-"""Tables and files in the folder that the driver and all executors share.
-
-The folder is the cluster's ``spark.checkpoint.dir``. Only where the session
-leaves that unset (unit tests, a laptop) is a folder chosen here.
-"""
+"""Stored tables and training samples of the operators."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import drop_tables, filesystem, new_path, shared_dir, write_table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder as a full URI.
-
-    Where the setting is missing, a temporary folder serves a local session;
-    on a cluster it would not be shared, so that is an error.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quillgraph.shared.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quillgraph-shared-")
-        spark.conf.set("quillgraph.shared.dir", found)
-    return _qualified(spark, found.rstrip("/"))
-
-
-def _path(spark: SparkSession, path: str):
-    """(Hadoop file system, Hadoop path)."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def _qualified(spark: SparkSession, path: str) -> str:
-    """``path`` with the scheme that Spark itself would take, so that workers open the same file system."""
-    files, where = _path(spark, path)
-    return files.makeQualified(where).toString()
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_dir(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
-
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the stored table.
-
-    This cuts the lineage: what follows reads committed files, so that neither
-    a lost executor nor a second use computes ``df`` again.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    stored = spark.read.schema(df.schema).parquet(path)
-    stored.stored_at = path
-    return stored
-
-
-def drop_tables(*tables: DataFrame) -> None:
-    """Delete tables of ``write_table`` that nothing reads any more."""
-    for table in tables:
-        path = getattr(table, "stored_at", None)
-        if path:
-            files, where = _path(table.sparkSession, path)
-            files.delete(where, True)
-
-
-def filesystem(uri: str):
-    """(pyarrow filesystem, path) of a URI, for workers that write or read single files."""
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
-    scheme, rest = uri.split("://", 1)
-    return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
+__all__ = ["bounded_sample", "drop_tables", "filesystem", "new_path", "shared_dir", "write_table"]
 
 
 def bounded_sample(rows: DataFrame, label: str, per_label: int, max_chars: int) -> list[Row]:
