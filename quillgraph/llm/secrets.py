@@ -5,7 +5,9 @@ Base spans come from three patterns. The battery looks at every run of
 included. Its encoding is inferred (digits, hex, letters, base 32, 36, 62, 64)
 and two questions are put to it.
 
-Could it be random? Three tests are made of its symbols against uniform draws
+Could it be random? That is asked of the tokens that could be anything else
+than written, whose second p value is below one; all others are written and
+never reported. Three tests are made of its symbols against uniform draws
 from that alphabet: chi-squared of the symbol counts (its tail from the exact
 first three moments at this length), runs above and below the alphabet's
 middle (with continuity correction), and lag-one serial correlation (with its
@@ -14,8 +16,8 @@ value; simulated draws of 12 to 64 symbols stay at or below every nominal level.
 
 Could it be written? In words, names, paths and numbers the kind of character
 (lower, upper, digit) seldom changes and rare letters are few, at most
-``WRITTEN`` of the places (``LETTERS`` in a token of letters alone). The count
-of such places bounds the p value by Chernoff's inequality.
+``WRITTEN`` of the places (``LETTERS`` in a token of letters alone). The p value
+is the binomial tail of the count of such places, bounded by a geometric series.
 
 Both are decided by Benjamini-Hochberg at ``fdr`` in strata of encoding and
 length (powers of two): a token is reported if randomness is not rejected and
@@ -46,7 +48,7 @@ MIN_VALUE, MIN_ACCESS, MIN_HEX = 12, 18, 16
 LEAST = 12
 CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST
 FDR = 0.05
-WRITTEN, LETTERS = 0.2, 0.1
+WRITTEN, LETTERS = 0.15, 0.1
 RARE = "jkqvwxz"
 GRID, MAX_BITS = 8, 60
 SUM_BLOCK = 128
@@ -176,7 +178,7 @@ def p_value(value: Column, alphabet: Column | None = None) -> Column:
 
 
 def written_p_value(value: Column, letters_only: Column) -> Column:
-    """Bound of the chance that a written token has so many changes of kind and rare letters.
+    """Bound of the binomial chance that a written token has so many changes of kind and rare letters.
 
     Signs between letters and digits are left out. A capital before a small
     letter is no change, as words begin so.
@@ -186,30 +188,40 @@ def written_p_value(value: Column, letters_only: Column) -> Column:
     places = F.regexp_count(kinds, F.lit("[qQ]|(?<=[lq])U|(?<=[lqUQ])0|(?<=0)[lU]")).cast("double")
 
     def bound(t: Column) -> Column:
-        share, rate = t["m"] / t["n"], t["rate"]
-        part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(F.lit(0.0))
-        return F.when(share <= rate, F.lit(1.0)).otherwise(F.greatest(F.exp(-t["n"] * (part(share, rate) + part(1 - share, 1 - rate))), F.lit(2.0**-MAX_BITS)))
+        m, n, odds = t["m"], t["n"], t["rate"] / (1 - t["rate"])
+        first = F.aggregate(F.sequence(F.lit(1), m.cast("int")), n * F.log(1 - t["rate"]), lambda acc, i: acc + F.log((n - i + 1) / i * odds))
+        ratio = (n - m) / (m + 1) * odds  # of the next term to this one; later ratios are smaller
+        return F.when(m <= n * t["rate"], F.lit(1.0)).otherwise(F.greatest(F.least(F.exp(first) / (1 - ratio), F.lit(1.0)), F.lit(2.0**-MAX_BITS)))
 
     return let(F.struct(places.alias("m"), F.greatest(F.length(kinds), F.lit(1)).cast("double").alias("n"), F.when(letters_only, LETTERS).otherwise(WRITTEN).alias("rate")), bound)
 
 
 def candidate_tokens(text: Column, base: Column) -> Column:
-    """Array of (start, end, stratum, step, written, base): steps are -log2 of the two p values on the grid, rounded down; ``base``: a base span touches it."""
+    """Array of (start, end, stratum, step, written, base): steps are -log2 of the two p values on the grid, rounded down.
+
+    ``step`` is -1 where the first question is not asked; ``base`` says whether a base span touches the token.
+    """
     has = F.rlike(text, F.lit(CANDIDATE))
     step = lambda p: F.floor(F.greatest(F.lit(0.0), -GRID * F.log2(p))).cast("int")
 
+    def placed(s: Column) -> Column:
+        return F.struct(s.alias("s"), _alphabet(F.rtrim(F.lit("="), s["value"])).alias("a"))
+
+    def written(t: Column) -> Column:
+        return F.struct(t["s"].alias("s"), t["a"].alias("a"), step(written_p_value(t["s"]["value"], t["a"]["no"] == 2)).alias("written"))
+
     def judged(t: Column) -> Column:
         s, alphabet = t["s"], t["a"]
         return F.struct(
             s["start"].alias("start"),
             s["end"].alias("end"),
             (32 * alphabet["no"] + F.floor(F.log2(s["w"].cast("double")))).cast("int").alias("stratum"),
-            step(p_value(s["value"], alphabet)).alias("step"),
-            step(written_p_value(s["value"], alphabet["no"] == 2)).alias("written"),
+            F.when(t["written"] > 0, step(p_value(s["value"], alphabet))).otherwise(-1).alias("step"),
+            t["written"].alias("written"),
             F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])).alias("base"),
         )
 
-    scored = F.transform(_found(text, CANDIDATE), lambda s: let(F.struct(s.alias("s"), _alphabet(F.regexp_replace(s["value"], "=+$", "")).alias("a")), judged))
+    scored = F.transform(F.transform(F.transform(_found(text, CANDIDATE), placed), written), judged)
     return _only(has, scored, TOKEN)
 
 
@@ -234,7 +246,7 @@ def rejection_steps(tokens: DataFrame, fdr: float = FDR, step: str = "step") ->
 def _thresholds(found: DataFrame, fdr: float) -> tuple[dict[int, int], dict[int, int]]:
     """(steps from which randomness is rejected, steps from which writing is) over all tokens of the stored scan."""
     tokens = found.select(F.explode("_tokens").alias("t")).select("t.stratum", "t.step", "t.written")
-    return rejection_steps(tokens, fdr), rejection_steps(tokens, fdr, "written")
+    return rejection_steps(tokens.where("step >= 0"), fdr), rejection_steps(tokens, fdr, "written")
 
 
 def _decided(tokens: Column, thresholds: tuple[dict[int, int], dict[int, int]]) -> Column:

@@ -11,8 +11,9 @@ per-block distances, and the table keeps both. In every block the references
 form a resolving set (distinct block values have distinct distance vectors).
 Two fingerprints within ``max_bits`` can differ in at most ``max_bits`` blocks,
 so their coordinates agree on all the others: each choice of those blocks is an
-equi-join key. Within a key, pairs whose largest coordinate difference exceeds
-``max_bits`` are discarded (triangle inequality), survivors are verified.
+equi-join key. Within a key, pairs whose largest difference over ``PIVOTS``
+distances exceeds ``max_bits`` are discarded (triangle inequality; of unrelated
+pairs about one in ten thousand is left), survivors are verified.
 Nothing is approximate and no bucket is capped.
 """
 
@@ -31,7 +32,7 @@ from .shared import write_table
 
 BITS = 64
 PIVOTS = 16
-SEED, SECOND_SEED = 42, 43
+SEED = 42
 SPLIT = r"[\x20\x09-\x0D]+"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -68,23 +69,18 @@ def fingerprint(text: str | None, words: int = 4, seed: int = SEED) -> int:
     return majority(shingle_bytes(text, words), seed)
 
 
-def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str = "text", second: bool = False) -> DataFrame:
-    """``key``, ``fp`` (the fingerprint's bits as a signed long) and ``fp2`` (that of another seed, else 0) of every row."""
+def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and ``fp``, the fingerprint's bits as a signed long, of every row."""
     import pyarrow as pa
 
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.zeros((2, batch.num_rows), np.uint64)
-            for i, t in enumerate(batch.column(1)):
-                shingles = shingle_bytes(t.as_py(), words)
-                fps[0, i] = majority(shingles)
-                if second:
-                    fps[1, i] = majority(shingles, SECOND_SEED)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.view(np.int64)) for x in fps]], ["k", "fp", "fp2"])
+            fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["k", "fp"])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, fp long, fp2 long").withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, fp long").withColumnRenamed("k", key)
 
 
 def resolving_references(width: int, seed: int = 7) -> list[int]:
@@ -170,30 +166,22 @@ class PivotTable:
         return F.array(*[F.xxhash64(F.lit(i), *[coords[b] for b in kept]) for i, kept in enumerate(itertools.combinations(range(len(self.blocks)), len(self.blocks) - self.max_bits))])
 
 
-def links(nodes: DataFrame, max_bits: int = 4, blocks: int | None = None, second_bits: int | None = None, chance: float = 1) -> DataFrame:
-    """Distinct linked pairs of the nodes: ``a``, ``b`` (fingerprints, ``a`` <= ``b``) with ``a2``, ``b2`` (second ones).
-
-    ``nodes`` has distinct (``fp``, ``fp2``). With ``second_bits`` the second
-    fingerprints must be that near as well, which rules out chance meetings.
-    """
+def links(nodes: DataFrame, max_bits: int = 4, blocks: int | None = None, chance: float = 1) -> DataFrame:
+    """Distinct linked pairs ``a`` < ``b`` of the distinct fingerprints ``fp`` of ``nodes``."""
     blocks = blocks or block_count(nodes.count(), max_bits, chance)
     table = PivotTable(blocks, max_bits)
     keyed = (
-        nodes.select("fp", "fp2")
+        nodes.select("fp")
         .withColumn("c", table.block_coordinates(F.col("fp")))
         .withColumn("d", table.coordinates(F.col("fp")))
-        .select("fp", "fp2", "d", F.explode(table.keys(F.col("c"))).alias("key"))
+        .select("fp", "d", F.explode(table.keys(F.col("c"))).alias("key"))
     )
-    side = lambda x: keyed.select("key", F.col("fp").alias(x), F.col("fp2").alias(f"{x}2"), F.col("d").alias(f"{x}_d"))
-    pairs = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("a2") < F.col("b2"))))
-    pairs = pairs.where(table.within(F.col("a_d"), F.col("b_d")))
-    pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    if second_bits is not None:
-        pairs = pairs.where(F.bit_count(F.col("a2").bitwiseXOR(F.col("b2"))) <= second_bits)
-    return pairs.select("a", "a2", "b", "b2").distinct()
+    side = lambda x: keyed.select("key", F.col("fp").alias(x), F.col("d").alias(f"{x}_d"))
+    pairs = side("a").join(side("b"), "key").where(F.col("a") < F.col("b")).where(table.within(F.col("a_d"), F.col("b_d")))
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, key: str = "doc_id", text: str = "text", second_bits: int | None = None, chance: float = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, key: str = "doc_id", text: str = "text", chance: float = 1) -> DataFrame:
     """One row per input row: ``key``, ``fingerprint`` (hex), ``component_id``, ``n_links``.
 
     ``component_id`` is the smallest ``key`` reachable over links, itself
@@ -201,30 +189,22 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, key: str
     Null and empty texts have fingerprint zero and link like any other. Rows
     with a null key get a null component unless their fingerprint has a keyed
     row. Rows that repeat a key are one graph node. Extra columns are ignored.
-    ``second_bits`` also bounds the distance of fingerprints under another seed.
     """
-    both = ["fp", "fp2"]
-    fps = write_table(fingerprints(docs, words, key, text, second_bits is not None), "simhash")
-    nodes = write_table(fps.groupBy(*both).agg(F.min(key).alias("rep")), "simhash-nodes")
-    found = write_table(links(nodes, max_bits, None, second_bits, chance), "simhash-links")
-    side = lambda x: found.select(F.col(x).alias("fp"), F.col(f"{x}2").alias("fp2"))
-    degree = side("a").unionByName(side("b")).groupBy(*both).agg(F.count("*").alias("n_links"))
-    node = lambda x, rep: nodes.select(F.col("fp").alias(x), F.col("fp2").alias(f"{x}2"), F.col("rep").alias(rep))
-    edges = found.join(node("a", "u"), ["a", "a2"]).join(node("b", "v"), ["b", "b2"]).select("u", "v")
-    value = F.struct(*both)
-    shared_keys = fps.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi")).where("lo <> hi")
-    repeated = (
-        fps.join(shared_keys.select(key), key, "left_semi")
-        .join(nodes, both)
-        .select(F.col(key).alias("u"), F.col("rep").alias("v"))
-    )
+    fps = write_table(fingerprints(docs, words, key, text), "simhash")
+    nodes = write_table(fps.groupBy("fp").agg(F.min(key).alias("rep")), "simhash-nodes")
+    found = write_table(links(nodes, max_bits, None, chance), "simhash-links")
+    degree = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
+    node = lambda x, rep: nodes.select(F.col("fp").alias(x), F.col("rep").alias(rep))
+    edges = found.join(node("a", "u"), "a").join(node("b", "v"), "b").select("u", "v")
+    shared_keys = fps.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
+    repeated = fps.join(shared_keys.select(key), key, "left_semi").join(nodes, "fp").select(F.col(key).alias("u"), F.col("rep").alias("v"))
     groups = connected_components(edges.unionByName(repeated))
     labelled = (
         nodes.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(degree, both, "left")
-        .select(*both, F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        .join(degree, "fp", "left")
+        .select("fp", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )
-    return fps.join(labelled, both).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    return fps.join(labelled, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:

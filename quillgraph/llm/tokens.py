@@ -5,11 +5,13 @@ The vocabulary's splitter never joins across white space, so a text of plain
 characters is cut at white space and each distinct piece is encoded once by the
 library's BPE model and kept in a bounded memo. Any text with a character
 outside the plain set, or with a special token's spelling, goes through the
-library's ``encode`` as a whole.
+library's ``encode`` as a whole, and so does every text under a vocabulary whose
+normaliser, splitter or model is set up in another way than ``SETUP``.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -22,6 +24,19 @@ VOCABULARY = "word_bpe_49k.json"
 _NOT_PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7e¡¿«»À-ÖØ-öø-ÿ]")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
 
+# The set-up of the vocabulary file that the cut at white space holds for.
+SETUP = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+MODEL_SETUP = {"type": "BPE", "dropout": None, "end_of_word_suffix": "</w>", "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+
 
 def _byte_letters() -> dict[int, str]:
     """The byte alphabet of byte-level BPE: printable bytes stand for themselves, the others follow from U+0100."""
@@ -44,6 +59,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than two bytes")
+        with open(path, encoding="utf-8") as file:
+            setup = json.load(file)
+        self.cuts = all(setup.get(k) == v for k, v in SETUP.items()) and all(setup["model"].get(k) == v for k, v in MODEL_SETUP.items())
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.most_chunks, self.most_pieces = chunks, pieces
@@ -74,7 +92,7 @@ class WordEncoder:
         return got
 
     def encode(self, text: str) -> np.ndarray:
-        if _NOT_PLAIN.search(text) or "<|" in text:
+        if not self.cuts or _NOT_PLAIN.search(text) or "<|" in text:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         whole, mixed, chunk = self.pieces.get, self.chunks.get, self._chunk
         packed = b"".join([whole(c) or mixed(c) or chunk(c) for c in text.lower().split()])

@@ -79,11 +79,11 @@ def test_pivot_links_lose_nothing(spark):
             fps.add(x)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
-    nodes = spark.createDataFrame([(x, 0) for x in signed], "fp long, fp2 long")
+    nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
     for blocks in (None, 6, 8):
         assert {(r.a, r.b) for r in links(nodes, blocks=blocks).collect()} == want
     want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 7}
-    assert {(r.a, r.b) for r in links(nodes, 7, second_bits=13, chance=500).collect()} == want
+    assert {(r.a, r.b) for r in links(nodes, 7, chance=500).collect()} == want
     assert block_count(1000) == 6 < block_count(10**10)
     assert len(PivotTable(7).blocks) == 7
 
