@@ -21,7 +21,7 @@ from .operators import metrics as M
 from .operators import prompts as P
 from .operators import retrieve as R
 from .plans import evaluation as E
-from .queries import KG_SQL, PAIRS_SQL, QUERIES, _kg, _mm_text, _pairs, _query, _t
+from .queries import KG_SQL, PAIRS_SQL, QUERIES, RANKED_SQL, _answers_sql, _kg, _mm_text, _pairs, _query, _t
 from .queries import METRIC_SQL as _METRICS
 from .sources import readers as S
 from .sources import sinks as K
@@ -380,6 +380,48 @@ def vision_model_call(spark, sf):
     return X.generate_segments(_t(spark, sf, "pages").select("page_id", blocks.alias("b")), "b", _segment_teller).select("page_id", "pred_text")
 
 
+_LETTERS = "AEIORUNST0123456789"
+
+
+def _letter_counts():
+    """An encoder of more letters, for ranking."""
+
+    def encode(items):
+        return np.array([[x.count(c) for c in _LETTERS] for x in items], np.float32)
+
+    return encode
+
+
+def _letters_sql(text: str) -> str:
+    return "[" + ", ".join(f"CAST(length({text}) - length(replace({text}, '{c}', '')) AS DOUBLE)" for c in _LETTERS) + "]"
+
+
+@_query(KG_SQL + f""", q AS (SELECT DISTINCT CAST(substr(tail_id, 2) AS INTEGER) AS qid, {_letters_sql("('[IMAGE] who is located in ' || tail_text)")} AS a FROM kg),
+c AS (SELECT doc_id, CAST(substr(tail_id, 2) AS INTEGER) AS cl, {_letters_sql("(head_text || ' ' || rel_text || ' ' || tail_text)")} AS b FROM kg),
+s AS (SELECT qid, doc_id, qid AS ql, cl, round(list_cosine_similarity(a, b), 9) AS score FROM q, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s)
+""" + _METRICS[len(RANKED_SQL):].replace(" AND qid <> doc_id", "").replace(" AND r.qid <> r.doc_id", "") + "SELECT 'mm_only' AS setting, 'SimpleText' AS retriever, CAST(k AS INTEGER) AS k, round(avg(ndcg), 6) AS ndcg, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall FROM m GROUP BY k")
+def evaluate_text_retrieval(spark, sf):
+    mm, _ = _mm_text(spark, sf)
+    rows = E.evaluate_retrieval(mm, "SimpleText", "mm_only", load=_letter_counts, digits=9)
+    return rows.select("setting", "retriever", "k", *[F.round(c, 6).alias(c) for c in ("ndcg", "precision", "recall")])
+
+
+def _first_head():
+    """A model that answers with the head of the first triplet of its evidence."""
+    import re
+
+    return lambda prompt: re.search(r"Triplet 1: .* = \(([^,]*),", prompt)[1]
+
+
+@_query("SELECT 'mm_only' AS setting, count(*) AS n, round(avg(em), 6)::DOUBLE AS em, round(avg(f1), 6)::DOUBLE AS f1, round(avg(contains), 6)::DOUBLE AS contains FROM (" + _answers_sql(KG_SQL.rstrip() + ", w AS (SELECT tail_id AS conv_id, 0 AS turn, arg_min(head_text, doc_id) AS p, string_agg(head_text, chr(10) ORDER BY doc_id) AS g FROM kg GROUP BY tail_id)\n", "g", "1e-12") + ")")
+def generation_scores(spark, sf):
+    mm, _ = _mm_text(spark, sf)
+    ranked = V.rank_scores(mm["qrels"].select("qid", "doc_id", F.lit(0.0).alias("score")), 5, item="doc_id")
+    means = E.evaluate_generation(mm, ranked, _first_head, "mm_only")[1]
+    return means.select("setting", "n", *[F.round(c, 6).alias(c) for c in ("em", "f1", "contains")])
+
+
 # --- vectors ------------------------------------------------------------------------------------
 
 _UNIT = "list_transform({0}, lambda x: x / sqrt(list_sum(list_transform({0}, lambda y: y * y))))"

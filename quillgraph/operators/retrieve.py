@@ -91,8 +91,8 @@ def random_topk(queries: DataFrame, n: int, k: int, seed: str = "42", ascending:
     return rows.select("qid", F.col("_s.i").alias("idx"), score.alias("score"), (F.col("_p") + 1).cast("int").alias("rank"))
 
 
-def text_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    return block_topk(queries.select("qid", F.col("text_emb").alias("emb")), corpus.select("idx", F.col("text_emb").alias("emb")), k)
+def text_topk(queries: DataFrame, corpus: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    return block_topk(queries.select("qid", F.col("text_emb").alias("emb")), corpus.select("idx", F.col("text_emb").alias("emb")), k, digits)
 
 
 def multimodal_topk(queries: DataFrame, corpus: DataFrame, k: int, family: Family) -> DataFrame:
@@ -184,11 +184,11 @@ def no_retrieval(queries: DataFrame) -> DataFrame:
 
 RETRIEVERS: dict[str, Callable[..., DataFrame]] = {
     "Random": lambda q, c, k, family, **o: random_topk(q, c.count(), k, ascending=family.ascending_random, **o),
-    "SimpleText": lambda q, c, k, family, **o: text_topk(q, c, k),
+    "SimpleText": lambda q, c, k, family, **o: text_topk(q, c, k, **o),
     "SimpleMultimodal": lambda q, c, k, family, **o: multimodal_topk(q, c, k, family),
     "MMAnchor": lambda q, c, k, family, **o: (anchor_by_text if family.anchor_by_text else anchor_topk)(q, c, k, **o),
     "MMWeighted": lambda q, c, k, family, **o: weighted_topk(q, c, k, **o),
-    "Caption": lambda q, c, k, family, **o: text_topk(q, c, k),
+    "Caption": lambda q, c, k, family, **o: text_topk(q, c, k, **o),
     "None": lambda q, c, k, family, **o: no_retrieval(q),
 }
 

@@ -13,7 +13,6 @@ from .operators import dataset as D
 from .operators import metrics as M
 from .operators import prompts as P
 from .operators import retrieve as R
-from .plans import evaluation as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -561,21 +560,6 @@ def light_normalise(spark, sf):
     return _t(spark, sf, "benchmark").select("item_id", F.sha2(T.light_normalise(F.col("text")), 256).alias("digest"))
 
 
-@_query()
-def evaluate_text_retrieval(spark, sf):
-    mm, _ = _mm_text(spark, sf)
-    return E.evaluate_retrieval(mm, "SimpleText", "mm_only")
-
-
-@_query()
-def generation_scores(spark, sf):
-    from .functions.models import echo_model
-
-    mm, _ = _mm_text(spark, sf)
-    ranked = V.rank_scores(mm["qrels"].select("qid", "doc_id", F.lit(0.0).alias("score")), 5, item="doc_id")
-    return E.evaluate_generation(mm, ranked, echo_model(), "mm_only")[1]
-
-
 @_query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf):
     from .streaming.incremental import windowed_counts
