@@ -6,8 +6,9 @@ hit. The hashes of the windows' first three words go to every task as a hash
 set; a document is scanned in its own row, and only the few positions whose
 three words are in the set have their window built and verified as text.
 The sets are broadcast only while the benchmark is below ``max_windows``
-windows. Beyond that, all windows of the documents are joined with the
-benchmark's by a shuffle on the window.
+windows. Beyond that, one narrow row a word position (number, place, hash of
+three words) is joined with the heads by a shuffle, and the windows built at the
+places that are met are verified by a second join.
 """
 
 from __future__ import annotations
@@ -79,18 +80,24 @@ def _scan_in_row(docs: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def _scan_by_join(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """One narrow row a word position meets the window heads; windows are built and verified only where a head is met."""
     docs = write_table(docs.withColumn("_row", F.monotonically_increasing_id()), "scanned")
+    words, w = docs.select("_row", words_of(F.col("text")).alias("_w")), F.col("_w")
     lengths = [r.n for r in table.select("n").distinct().orderBy("n").collect()]  # at most the window size
-    with_words = docs.withColumn("_w", words_of(F.col("text")))
-    every = F.when(F.size("_w") > 0, F.sequence(F.lit(0), F.size("_w") - 1)).otherwise(F.array().cast("array<int>"))
+    start = lambda i, k: F.struct(F.lit(k).alias("k"), i.alias("i"), F.xxhash64(*[F.get(w, i + j) for j in range(k)]).alias("head"))
+    every = F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array(*[start(i, k) for k in sorted({min(n, HEAD) for n in lengths})]))
+    heads = table.select(F.least("n", F.lit(HEAD)).alias("k"), "head").distinct()
+    met = words.where(F.size(w) > 0).select("_row", F.explode(F.flatten(every)).alias("s")).select("_row", "s.*").join(heads, ["k", "head"], "left_semi")
+    places = met.groupBy("_row").agg(F.sort_array(F.collect_set("i")).alias("_p"))
     hits = (
-        with_words.select("_row", F.explode(_built(every, F.col("_w"), lengths)).alias("c"))
+        words.join(places, "_row")
+        .select("_row", F.explode(_built(F.col("_p"), w, lengths)).alias("c"))
         .withColumn("window", F.col("c.window"))
         .join(table.select("window"), "window", "left_semi")
         .groupBy("_row")
         .agg(F.sort_array(F.collect_list("c")).alias("_hits"))
     )
-    return with_words.join(hits, "_row", "left").withColumn("_hits", F.coalesce("_hits", F.array().cast(HITS))).drop("_row")
+    return docs.withColumn("_w", words_of(F.col("text"))).join(hits, "_row", "left").withColumn("_hits", F.coalesce("_hits", F.array().cast(HITS))).drop("_row")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_windows: int = MAX_WINDOWS) -> tuple[DataFrame, DataFrame]:
