@@ -121,6 +121,10 @@ def test_choice_prompt(spark):
     assert test == "Now, please answer the question.Context: N/A\nQuestion: Q?\nOptions: (A) x (B) y\nAnswer:"
     with pytest.raises(ValueError):
         P.choice_example("ZZ-A", True)
+    many = spark.range(33).select(F.col("id").alias("pos")).crossJoin(problems)
+    with pytest.raises(ValueError, match="32 shots"):
+        P.few_shot(problems, many, "CQM-A")
+    assert P.few_shot(problems, many.where("pos < 32"), "CQM-A").first().prompt.count("Question:") == 33
 
 
 def test_end_to_end_retrieval(spark):

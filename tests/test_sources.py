@@ -32,6 +32,8 @@ def test_text_tables(spark, tmp_path):
     p = tmp_path / "e.txt"
     p.write_text("Q1\tone\ttwo\nQ2\tx\nQ1\tlast\n")
     assert {r.id: r.text for r in S.id_text(spark, str(p)).collect()} == {"Q1": "last", "Q2": "x"}
+    with pytest.raises(Exception, match="exactly one tab"):
+        S.id_text(spark, str(p), strict=True).collect()
     p.write_text("b\na\n\nc\n")
     assert [(r.id, r.pos) for r in S.id_list(spark, str(p)).orderBy("pos").collect()] == [("b", 0), ("a", 1), ("c", 2)]
     p.write_text("IID,Image_Path\nI1,a.jpg\nI2,/abs.jpg\nI1, b.jpg\n,x\n")
@@ -95,3 +97,30 @@ def test_embedding_stream_is_idempotent(spark, tmp_path):
     for _ in range(2):
         embed_stream(spark.readStream.schema("text string").parquet(str(src)), hashing_encoder(4), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_model_caches_encode_changed_files_only(spark, tmp_path):
+    from quillgraph.functions.models import cached_entity_images
+
+    import numpy as np
+
+    def fixed(value):
+        return lambda: lambda items: np.full((len(items), 2), value, np.float32)
+
+    shape = "entity_id string, path string, length long, modificationTime timestamp, content binary"
+    import datetime
+
+    at = datetime.datetime(2020, 1, 1)
+    rows = [("a", "/x/a.jpg", 3, at, b"abc"), ("b", "/x/b.jpg", 1, at, b"b"), ("c", "/x/c.jpg", 1, at, None)]
+    path = f"{tmp_path}/cache"
+    first = cached_entity_images(spark.createDataFrame(rows, shape), fixed(1), "m", path)
+    assert {r.entity_id: r.emb[0] for r in first.collect()} == {"a": 1, "b": 1}
+    rows[1] = ("b", "/x/b.jpg", 1, at + datetime.timedelta(microseconds=1), b"B")
+    second = cached_entity_images(spark.createDataFrame(rows, shape), fixed(2), "m", path)
+    assert {r.entity_id: r.emb[0] for r in second.collect()} == {"a": 1, "b": 2}
+
+
+def test_logs_have_safe_names(spark, tmp_path):
+    rows = spark.createDataFrame([(1, bytearray(b"x"))], "id int, data binary")
+    path = K.write_log(rows, str(tmp_path), "mm only/k=5")
+    assert path.endswith("/mm_only_k_5") and spark.read.json(path).first().data == "eA=="
