@@ -325,3 +325,16 @@ def test_secrets(spark, docs):
     tokens = ["".join(rng.choice(list(letters), 40)) for _ in range(300)] + ["".join(rng.choice(list("etaoinsh123"), 40)) for _ in range(300)]
     p = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, t string").orderBy("i").select(p_value(__import__("pyspark.sql.functions", fromlist=["col"]).col("t"))).collect()]
     assert np.mean(np.array(p[:300]) < 0.01) < 0.06 and np.mean(np.array(p[300:]) < 0.01) > 0.8
+
+
+def test_other_vocabularies_take_the_library_path():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quillgraph.llm.tokens import WordEncoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, library = WordEncoder(path), Tokenizer.from_file(path)
+    assert not enc.cuts
+    for text in ("Plain words HERE", "tabs\tand  blanks", "", "été 12"):
+        assert enc.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
