@@ -1,8 +1,9 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters, of order ``ORDER``: an n-gram is one long of 12
-bits a character (code points from 3,840 on share 250 symbols), with start and
-end symbols. Trusted text is every document of quality 1 that is not held out;
+The model is over symbols, of order ``ORDER``: an n-gram is one long of 12 bits
+a symbol, with start and end symbols. A code point below ``PLAIN`` is one
+symbol, any other three (its seven-bit parts, each with symbols of its own), so
+that different texts never share their symbols. Trusted text is every document of quality 1 that is not held out;
 its n-grams are counted in all its text. Counts, continuation counts, discounts
 and interpolated probabilities are DataFrame aggregates and joins.
 
@@ -33,7 +34,7 @@ ORDER = 5
 BITS = 12
 SYMBOLS = 1 << BITS
 END = SYMBOLS - 1
-PLAIN, FOLDED = 0xF00, 250
+PLAIN = 3700
 SHARD_ROWS = 2_000_000
 KEPT_SHARDS = 3
 BATCH_CHARS = 2_000_000
@@ -45,7 +46,13 @@ CACHE_BITS = 20
 
 def symbols(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.where(points < PLAIN, points, PLAIN + points % FOLDED) + 1
+    wide = points >= PLAIN
+    if wide.any():
+        sizes = np.where(wide, 3, 1)
+        points, wide = np.repeat(points, sizes), np.repeat(wide, sizes)
+        part = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        points = np.where(wide, PLAIN + 128 * part + (points >> (14 - 7 * part) & 127), points)
+    return points + 1
 
 
 def ngram_codes(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +258,7 @@ class Scorer:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``row`` (the input row), ``log_ppl``, the mean negative log probability of a character of its ``text``, and ``chars`` (the end counts as one)."""
+    """``row`` (the input row), ``log_ppl``, the mean negative log probability of a symbol of its ``text``, and ``chars``, its symbols (the end counts as one)."""
     import pyarrow as pa
     from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -343,7 +350,7 @@ def _fitted(docs: DataFrame, labels: DataFrame) -> tuple[Model, Limits]:
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per input row: ``doc_id``, ``lang``, ``perplexity`` (a character), ``shrunk`` perplexity, ``threshold``, ``keep``.
+    """One row per input row: ``doc_id``, ``lang``, ``perplexity`` (a symbol), ``shrunk`` perplexity, ``threshold``, ``keep``.
 
     Null and empty texts are the end symbol alone and judged like any text. A
     null language counts as ``und``; a language without trusted held-out text

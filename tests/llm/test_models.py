@@ -168,6 +168,18 @@ def test_kneser_ney_by_definition(spark, corpus):
     assert gap == pytest.approx(1)
 
 
+def test_symbols_tell_all_texts_apart():
+    from quillgraph.llm.quality import END, symbols
+
+    rng = np.random.default_rng(0)
+    points = [int(x) for x in rng.integers(1, 0x10FFFF, 4000) if not 0xD800 <= x < 0xE000] + list(range(3690, 3720)) + [0x4E00, 0x4EFA, 0x10FFFF]
+    seen = {}
+    for x in points:
+        assert seen.setdefault(tuple(symbols(chr(x)).tolist()), x) == x
+    assert all(0 < s < END for key in seen for s in key)
+    assert symbols("a漢b").tolist() == [*symbols("a"), *symbols("漢"), *symbols("b")]
+
+
 def test_quality(spark, corpus):
     from quillgraph.llm.quality import judge, keep_good
 
