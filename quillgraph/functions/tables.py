@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +42,15 @@ def _qualified(spark: SparkSession, path: str) -> str:
     return files.makeQualified(where).toString()
 
 
+_watched: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own below the shared folder."""
-    return f"{shared_dir(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
+    for made in _watched:
+        made.append(path)
+    return path
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
@@ -60,6 +67,21 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return stored
 
 
+def write_and_clear(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Store what ``make`` returns; whatever else was stored on the way is deleted then."""
+    made: list[str] = []
+    _watched.append(made)
+    try:
+        out = write_table(make(), name)
+    finally:
+        _watched.pop()
+    for path in made:
+        if path != out.stored_at:
+            files, where = _path(spark, path)
+            files.delete(where, True)
+    return out
+
+
 def drop_tables(*tables: DataFrame) -> None:
     """Delete tables of ``write_table`` that nothing reads any more."""
     for table in tables:
