@@ -205,7 +205,7 @@ def candidate_tokens(text: Column, base: Column) -> Column:
     step = lambda p: F.floor(F.greatest(F.lit(0.0), -GRID * F.log2(p))).cast("int")
 
     def placed(s: Column) -> Column:
-        return F.struct(s.alias("s"), _alphabet(F.rtrim(F.lit("="), s["value"])).alias("a"))
+        return F.struct(s.alias("s"), _alphabet(F.rtrim(s["value"], F.lit("="))).alias("a"))
 
     def written(t: Column) -> Column:
         return F.struct(t["s"].alias("s"), t["a"].alias("a"), step(written_p_value(t["s"]["value"], t["a"]["no"] == 2)).alias("written"))

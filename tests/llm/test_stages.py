@@ -134,6 +134,16 @@ def test_battery_on_words_identifiers_and_keys(spark):
     assert got[5000].n_assign == 1 and got[5000].spans.count(":") == 2 and got[5000].n_random == got[5000].n_tokens == 1
 
 
+def test_encodings_are_inferred_token_by_token(spark):
+    from quillgraph.llm.secrets import candidate_tokens
+
+    tokens = {"123456789012": 0, "0f1e2d3c4b5a6978": 1, "Handwritings": 2, "ABCDEFGH2345": 3, "abcxyz987654": 4, "abcXYZ987654": 5, "abc-XYZ_98765": 6, "abc/XYZ+98765==": 7}
+    rows = spark.createDataFrame([(t, f"x {t}") for t in tokens], "t string, text string")
+    got = {r.t: r.c for r in rows.select("t", candidate_tokens(F.col("text"), F.array().cast("array<struct<start:int,end:int>>")).alias("c")).collect()}
+    assert {t: c[0].stratum // 32 for t, c in got.items()} == tokens
+    assert all((c[0].start, c[0].end) == (2, 2 + len(t)) and c[0].stratum % 32 == int(math.log2(len(t))) for t, c in got.items())
+
+
 def test_texts_without_letters_have_no_language(spark):
     from quillgraph.llm.language import predict, sample_and_fit, words_of
 
