@@ -167,7 +167,11 @@ class PivotTable:
 
 
 def links(nodes: DataFrame, max_bits: int = 4, blocks: int | None = None, chance: float = 1) -> DataFrame:
-    """Distinct linked pairs ``a`` < ``b`` of the distinct fingerprints ``fp`` of ``nodes``."""
+    """Distinct linked pairs ``a`` < ``b`` of the distinct fingerprints ``fp`` of ``nodes``.
+
+    The planner does not see that ``explode`` multiplies rows and would take the
+    keys for as small as ``nodes``; the hint keeps them out of the driver.
+    """
     blocks = blocks or block_count(nodes.count(), max_bits, chance)
     table = PivotTable(blocks, max_bits)
     keyed = (
@@ -177,7 +181,7 @@ def links(nodes: DataFrame, max_bits: int = 4, blocks: int | None = None, chance
         .select("fp", "d", F.explode(table.keys(F.col("c"))).alias("key"))
     )
     side = lambda x: keyed.select("key", F.col("fp").alias(x), F.col("d").alias(f"{x}_d"))
-    pairs = side("a").join(side("b"), "key").where(F.col("a") < F.col("b")).where(table.within(F.col("a_d"), F.col("b_d")))
+    pairs = side("a").join(side("b").hint("merge"), "key").where(F.col("a") < F.col("b")).where(table.within(F.col("a_d"), F.col("b_d")))
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b").distinct()
 
 
@@ -189,22 +193,24 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, key: str
     Null and empty texts have fingerprint zero and link like any other. Rows
     with a null key get a null component unless their fingerprint has a keyed
     row. Rows that repeat a key are one graph node. Extra columns are ignored.
+    Joins of tables that grow with ``docs`` are hashed and sorted at every size:
+    Parquet holds their rows in far less than a broadcast takes of the driver.
     """
     fps = write_table(fingerprints(docs, words, key, text), "simhash")
     nodes = write_table(fps.groupBy("fp").agg(F.min(key).alias("rep")), "simhash-nodes")
     found = write_table(links(nodes, max_bits, None, chance), "simhash-links")
     degree = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("n_links"))
-    node = lambda x, rep: nodes.select(F.col("fp").alias(x), F.col("rep").alias(rep))
+    node = lambda x, rep: nodes.select(F.col("fp").alias(x), F.col("rep").alias(rep)).hint("merge")
     edges = found.join(node("a", "u"), "a").join(node("b", "v"), "b").select("u", "v")
     shared_keys = fps.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
-    repeated = fps.join(shared_keys.select(key), key, "left_semi").join(nodes, "fp").select(F.col(key).alias("u"), F.col("rep").alias("v"))
+    repeated = fps.join(shared_keys.select(key).hint("merge"), key, "left_semi").join(nodes.hint("merge"), "fp").select(F.col(key).alias("u"), F.col("rep").alias("v"))
     groups = connected_components(edges.unionByName(repeated))
     labelled = (
-        nodes.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(degree, "fp", "left")
+        nodes.join(groups.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
+        .join(degree.hint("merge"), "fp", "left")
         .select("fp", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )
-    return fps.join(labelled, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    return fps.join(labelled.hint("merge"), "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -88,6 +88,18 @@ def test_pivot_links_lose_nothing(spark):
     assert len(PivotTable(7).blocks) == 7
 
 
+def test_keys_stay_out_of_the_driver(spark):
+    """Stored fingerprints are small, their keys are not: no join may be a broadcast, whatever the planner's limit."""
+    from quillgraph.llm.shared import write_table
+    from quillgraph.llm.simhash import links, near_duplicates
+
+    nodes = write_table(spark.range(500).selectExpr("xxhash64(id) fp"), "nodes")
+    docs = write_table(spark.range(200).selectExpr("id doc_id", "concat_ws(' ', 'one text of words', id div 2) text"), "docs")
+    for found in (links(nodes), near_duplicates(docs)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     from quillgraph.llm.components import connected_components
 
