@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop_tables, filesystem, new_path, write_table
+from .shared import drop_paths, drop_tables, filesystem, new_path, write_table
 from .toxicity import held_out
 
 ORDER = 5
@@ -286,11 +286,29 @@ def _trusted_ids(labels: DataFrame) -> DataFrame:
 def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Stored ``doc_id``, ``lang``, ``text`` of the trusted documents, for training and thresholds.
 
-    The join is hashed by ``doc_id`` at every size, so that small label tables
-    take the path that large ones need: a hash table of one partition's ids.
+    No text is shuffled: the trusted ids are written in shards, as a model is,
+    and each task looks up the ids of its own rows. Only ids that are no
+    integers are joined, hashed by ``doc_id`` at every size.
     """
-    rows = docs.select("doc_id", "lang", "text").join(_trusted_ids(labels).hint("shuffle_hash"), "doc_id", "left_semi")
-    return write_table(rows, "trusted")
+    import pyarrow as pa
+
+    rows, ids = docs.select("doc_id", "lang", "text"), _trusted_ids(labels)
+    whole = {"bigint", "int", "smallint", "tinyint"}
+    if not {docs.schema["doc_id"].dataType.simpleString(), labels.schema["doc_id"].dataType.simpleString()} <= whole:
+        return write_table(rows.join(ids.hint("shuffle_hash"), "doc_id", "left_semi"), "trusted")
+    uri = _write_shards(docs.sparkSession, ids.select(F.col("doc_id").cast("long").alias("key"), F.lit(0).cast("float").alias("value")), "trusted-ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = None
+        for batch in batches:
+            shards = shards or Shards(uri)
+            own = batch.column(0)
+            found = ~np.isnan(shards.find(own.fill_null(0).cast(pa.int64()).to_numpy()))
+            yield batch.filter(pa.array(found & own.is_valid().to_numpy(zero_copy_only=False)))
+
+    stored = write_table(rows.mapInArrow(run, rows.schema), "trusted")
+    drop_paths(docs.sparkSession, uri)
+    return stored
 
 
 def fit(trusted: DataFrame, order: int = ORDER) -> Model:

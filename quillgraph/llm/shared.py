@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import drop_tables, filesystem, new_path, shared_dir, write_table
+from ..functions.tables import drop_paths, drop_tables, filesystem, new_path, shared_dir, write_table
 
-__all__ = ["bounded_sample", "drop_tables", "filesystem", "new_path", "shared_dir", "write_table"]
+__all__ = ["bounded_sample", "drop_paths", "drop_tables", "filesystem", "new_path", "shared_dir", "write_table"]
 
 
 def bounded_sample(rows: DataFrame, label: str, per_label: int, max_chars: int) -> list[Row]:

@@ -207,3 +207,24 @@ def test_quality_thresholds_by_definition(spark):
         assert found.centre[lang] == pytest.approx(centre)
         assert found.limit[lang] == pytest.approx(pick([(p * c + PSEUDO * centre) / (c + PSEUDO) for p, c in own], QUANTILE) + MARGIN)
     assert judge(docs, labels).where("keep").count() >= 150
+
+
+def test_trusted_texts_are_not_shuffled(spark, monkeypatch):
+    """The rows are those of a semi-join by id, for any type of id; a text only passes through its own task."""
+    from quillgraph.llm import quality
+
+    monkeypatch.setattr(quality, "SHARD_ROWS", 40)
+    rows = [(i, "aa" if i % 2 else None, None if i % 50 == 0 else f"text {i}") for i in (*range(-100, 300), 7, 1 << 62, -(1 << 63))] + [(None, "aa", "nameless"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    marks = [(i, int(i % 3 == 0)) for i in range(-50, 400)] + [(0, 1), (3, 0), (None, 1), (-(1 << 63), 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    good = {i for i, q in marks if q == 1} - {None}
+    want = sorted(map(str, [r for r in rows if r[0] in good]))
+    plans, kept = [], quality.write_table
+    monkeypatch.setattr(quality, "write_table", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df, name))[1])
+    got = lambda *tables: sorted(str(tuple(r)) for r in quality.trusted_texts(*tables).collect())
+    assert got(docs, labels) == want and "Join" not in plans[0] and "hashpartitioning" not in plans[0]
+    assert got(docs, labels.limit(0)) == []
+    assert got(docs.where("doc_id between -100 and 300").withColumn("doc_id", F.col("doc_id").cast("int")), labels) == sorted(map(str, [r for r in rows if r[0] in good and -100 <= r[0] <= 300]))
+    text = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert len(got(text, labels.withColumn("doc_id", F.col("doc_id").cast("string")))) == len(want)
