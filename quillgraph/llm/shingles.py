@@ -2,8 +2,9 @@
 
 Two texts link when the Jaccard similarity of their shingle sets is at least
 four fifths. Fingerprints alone can't tell: at that similarity they differ in
-ten of 64 bits on average, which no block key reaches. So pairs meet on
-prefixes: with all sets sorted in one common order, two such sets of n and m
+ten of 64 bits on average, which no block key reaches. So the SimHash links of
+the pivot table come first, verified, and form groups; what they cannot reach
+meets on prefixes, across those groups: with all sets sorted in one common order, two such sets of n and m
 shingles have a shingle in common among their first n // 5 + 1 and m // 5 + 1.
 Any order is exact; shingles that a sample shows to be common are put last, so
 that prefixes hold rare ones. Of the pairs that meet, those are discarded that
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import drop_tables, write_table
-from .simhash import BITS, SEED, PivotTable, keep_first, shingle_bytes
+from .simhash import BITS, SEED, PivotTable, keep_first, links, shingle_bytes
 
 #: Fingerprints of two sets of ``LEAST`` or more shingles that are four fifths similar differ in 9.9 bits on average
 #: and in more than 26 with a chance of about one in 10 million; closer pairs have smaller odds. Unrelated ones differ
@@ -125,6 +126,20 @@ def _pairs(x: DataFrame, y: DataFrame, more, table: PivotTable) -> DataFrame:
     return met.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
 
 
+def _fingerprint_pairs(reps: DataFrame) -> DataFrame:
+    """Distinct pairs ``u`` < ``v`` of nodes by SimHash: a node and the least one of its fingerprint, and such nodes of linked fingerprints.
+
+    Of a fingerprint's links to smaller ones that to the smallest is taken, so
+    that there is about a pair a node in a group of copies; prefixes reach the others.
+    """
+    nodes = write_table(reps.groupBy("fp").agg(F.min("node").alias("head")), "shingle-fingerprints")
+    near = links(nodes).groupBy("b").agg(F.min("a").alias("a"))
+    head = lambda x, to: nodes.select(F.col("fp").alias(x), F.col("head").alias(to)).hint("merge")
+    linked = near.join(head("a", "u"), "a").join(head("b", "v"), "b").select("u", "v")
+    same = reps.select("fp", F.col("node").alias("u")).join(head("fp", "v"), "fp").where("u <> v").select("u", "v")
+    return linked.unionByName(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     """The pairs ``u``, ``v`` whose whole sets are similar enough."""
     used = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
@@ -168,22 +183,25 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     marked = write_table(_per_text(docs, words, common_shingles(docs, words)), "shingle-marks")
     reps = write_table(marked.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("fp").alias("fp")), "shingle-nodes")
     held = write_table(_shared_keys(marked.join(reps.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"], "left_semi")), "shingle-shared")
-    sized = held.join(reps.select("node", "n", "fp"), "node")
+    repeated = marked.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("w")).where("u <> w").select("doc_id", "u")
+    repeated = marked.join(repeated, "doc_id").select("u", F.col("node").alias("v"))
+    near = write_table(_fingerprint_pairs(reps), "shingle-near")
+    first = _verified(near, docs, reps, words)
+    grouped = reps.join(connected_components(first.unionByName(repeated)), "node", "left").select("node", "n", "fp", F.coalesce("component", "node").alias("g"))
+    sized = held.join(grouped, "node")
     small, held = held, write_table(sized.withColumn("d", table.coordinates(F.col("fp"))), "shingle-keys")
     drop_tables(small)
 
-    spokes = write_table(_pairs(held, held.where("hub"), F.lit(True), table), "shingle-spokes")
-    repeated = marked.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("w")).where("u <> w").select("doc_id", "u")
-    repeated = marked.join(repeated, "doc_id").select("u", F.col("node").alias("v"))
-    links = _verified(spokes, docs, reps, words)
-    groups = connected_components(links.unionByName(repeated))
+    spokes = write_table(_pairs(held, held.where("hub"), F.col("x.g") != F.col("y.g"), table).join(near, ["u", "v"], "left_anti"), "shingle-spokes")
+    second = _verified(spokes, docs, reps, words)
+    groups = connected_components(first.unionByName(second).unionByName(repeated))
 
     label = F.coalesce("component", "node").alias("g")
-    rest = held.drop("hub").join(groups, "node", "left").select("key", "node", "n", "p", "fp", "d", label)
+    rest = held.drop("hub", "g").join(groups, "node", "left").select("key", "node", "n", "p", "fp", "d", label)
     mixed = rest.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("key")
     rest = write_table(rest.join(mixed, "key", "left_semi"), "shingle-rest")
     across = (F.col("x.node") < F.col("y.node")) & (F.col("x.g") != F.col("y.g"))
-    pairs = write_table(_pairs(rest, rest, across, table).join(spokes, ["u", "v"], "left_anti"), "shingle-pairs")
+    pairs = write_table(_pairs(rest, rest, across, table).join(spokes.unionByName(near), ["u", "v"], "left_anti"), "shingle-pairs")
     more = _verified(pairs, docs, reps, words)
 
     # What is still to be joined are groups, so the second search runs over their labels alone.
@@ -194,7 +212,7 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     least = named.groupBy("g").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "g").select("node", "component_id")
     out = write_table(marked.select("doc_id", "node").join(named, "node").select("doc_id", "component_id"), "shingle-groups")
-    drop_tables(marked, reps, held, spokes, links, rest, pairs, more)
+    drop_tables(marked, reps, held, near, first, spokes, second, rest, pairs, more)
     return out
 
 

@@ -228,3 +228,29 @@ def test_trusted_texts_are_not_shuffled(spark, monkeypatch):
     assert got(docs.where("doc_id between -100 and 300").withColumn("doc_id", F.col("doc_id").cast("int")), labels) == sorted(map(str, [r for r in rows if r[0] in good and -100 <= r[0] <= 300]))
     text = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
     assert len(got(text, labels.withColumn("doc_id", F.col("doc_id").cast("string")))) == len(want)
+
+
+def test_fingerprint_links_come_first(spark, monkeypatch):
+    """Near-dedup takes the pivot table's links first; prefixes only compare what those did not group."""
+    from quillgraph.llm import shingles
+
+    rng, texts = np.random.default_rng(8), []
+    for g in range(8):
+        words = [f"g{g}w{i}" for i in range(400)]
+        texts.append(" ".join(words))
+        for edits in (1, 1, 2, 8):
+            copy = list(words)
+            for at in rng.choice(400, edits, replace=False):
+                copy[at] = f"e{rng.integers(10**9)}"
+            texts.append(" ".join(copy))
+    found = {shingles.set_id(s): s for s in map(shingles.shingle_set, texts)}
+    fps = {u: shingles.set_fingerprint(s) for u, s in found.items()}
+    near = lambda u, v: ((fps[u] ^ fps[v]) & (2**64 - 1)).bit_count() <= 4
+    seen, inner = [], shingles._verified
+    monkeypatch.setattr(shingles, "_verified", lambda pairs, *rest: (seen.append({(r.u, r.v) for r in pairs.collect()}), inner(pairs, *rest))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in shingles.near_copies(docs).collect()}
+    assert got == {i: i // 5 * 5 for i in range(len(texts))}
+    assert len(seen[0]) > 8 and all(near(u, v) for u, v in seen[0])
+    assert {x for pair in seen[0] for x in pair} >= {u for u in fps if any(near(u, v) and fps[v] < fps[u] for v in fps)}
+    assert seen[1] and not seen[0] & seen[1]
