@@ -9,8 +9,10 @@ and interpolated probabilities are DataFrame aggregates and joins.
 
 The finished tables are written in shards by key range. Scoring is a map-side
 join: a task sorts the distinct n-grams of some documents and looks them up
-shard by shard, so its memory is bounded by one batch and one shard, whatever
-the model's size; no document text is shuffled for it.
+shard by shard, so its memory is bounded by one batch and a few shards, whatever
+the model's size; no document text is shuffled for it. Texts become n-grams a
+slice at a time and results leave the task a group at a time, as Spark's own
+batches (10,000 rows or 64 MB) are too large to be held several times over.
 
 A short text's perplexity says little, so the statistic is the log perplexity
 shrunk by ``PSEUDO`` characters towards the language's median. A document passes
@@ -20,7 +22,7 @@ held-out documents plus ``MARGIN``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,10 +37,13 @@ BITS = 12
 SYMBOLS = 1 << BITS
 END = SYMBOLS - 1
 PLAIN = 3700
-SHARD_ROWS = 2_000_000
-KEPT_SHARDS = 3
-BATCH_CHARS = 2_000_000
+SHARD_ROWS = 500_000
+KEPT_SHARDS = 6
+GROUP_BYTES = 2_000_000
+SLICE_BYTES = 250_000
+LOOKUPS = 500_000
 FLUSH = 1_500_000
+ROWS_OUT = 1_000
 QUANTILE, MARGIN = 0.99, 0.1
 PSEUDO = 40
 CACHE_BITS = 20
@@ -75,17 +80,38 @@ def ngram_codes(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray
     return code[keep], lengths
 
 
-def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about BATCH_CHARS characters, a longer text alone."""
+def _groups(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose sizes add up to ``most`` at most, a larger item alone."""
     first, held = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t or "") + 1
-        if held and held + n > BATCH_CHARS:
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and held + n > most:
             yield first, i
             first, held = i, 0
         held += n
-    if held:
-        yield first, len(texts)
+    if len(sizes):
+        yield first, len(sizes)
+
+
+def _sizes(texts) -> np.ndarray:
+    """Bytes of each text of an Arrow array, and one for its end; never less than its symbols."""
+    import pyarrow.compute as pc
+
+    return pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+
+
+def _slices(texts, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``ngram_codes`` of an Arrow array, about SLICE_BYTES at a time."""
+    for a, b in _groups(_sizes(texts), SLICE_BYTES):
+        yield ngram_codes(texts.slice(a, b - a).to_pylist(), order)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of all parts, sorted, with their counts added up."""
+    codes = np.concatenate([c for c, _ in parts])
+    order = np.argsort(codes)
+    codes, counts = codes[order], np.concatenate([n for _, n in parts])[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(codes), 1), bool), codes[1:] != codes[:-1])))
+    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def count_ngrams(texts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -96,17 +122,19 @@ def count_ngrams(texts: DataFrame, order: int = ORDER) -> DataFrame:
         def out(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
 
-        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts, fresh = [none], 0  # the first is merged, the others have ``fresh`` codes
         for batch in batches:
-            part = batch.column(0).to_pylist()
-            for a, b in _groups(part):
-                new, n = np.unique(ngram_codes(part[a:b], order)[0], return_counts=True)
-                codes, where = np.unique(np.concatenate((codes, new)), return_inverse=True)
-                counts = np.bincount(where, np.concatenate((counts, n)), len(codes)).astype(np.int64)
-                if len(codes) > FLUSH:
-                    yield out(codes, counts)
-                    codes, counts = codes[:0], counts[:0]
-        yield out(codes, counts)
+            for own, _ in _slices(batch.column(0), order):
+                parts.append(np.unique(own, return_counts=True))
+                fresh += len(parts[-1][0])
+                if fresh > LOOKUPS:
+                    parts, fresh = [_merged(parts)], 0
+                    if len(parts[0][0]) > FLUSH:
+                        yield out(*parts[0])
+                        parts = [none]
+            pa.default_memory_pool().release_unused()
+        yield out(*_merged(parts))
 
     return texts.select("text").where("text is not null").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
@@ -173,7 +201,10 @@ def train(trusted: DataFrame, order: int = ORDER) -> Model:
 
 
 class Shards:
-    """Lookups in a folder of key-sorted shards; holds a few shards at a time, in the order they were last used."""
+    """Lookups in a folder of key-sorted shards; holds a few shards at a time.
+
+    Lookups go through all shards again and again, so the shard read last makes room for the next one.
+    """
 
     def __init__(self, uri: str):
         import pyarrow.parquet as pq
@@ -198,8 +229,9 @@ class Shards:
 
         if path not in self.kept:
             if len(self.kept) >= KEPT_SHARDS:
-                self.kept.pop(next(iter(self.kept)))
-            table = pq.read_table(path, filesystem=self.fs, columns=["key", "value"], partitioning=None)
+                self.kept.popitem()
+            with self.fs.open_input_file(path) as file:
+                table = pq.ParquetFile(file).read(["key", "value"], use_threads=False)
             self.kept[path] = (table["key"].to_numpy(), table["value"].to_numpy())
         return self.kept[path]
 
@@ -245,36 +277,52 @@ class Scorer:
         out[open_] -= np.log(SYMBOLS)
         return out
 
-    def __call__(self, codes: np.ndarray) -> np.ndarray:
-        slot = ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-        out = self.values[slot]
-        missed = np.flatnonzero(self.keys[slot] != codes)
-        if len(missed):
-            fresh, where = np.unique(codes[missed], return_inverse=True)
-            values = self._chain(fresh)
-            out[missed] = values[where]
-            self.keys[slot[missed]], self.values[slot[missed]] = codes[missed], values[where]
-        return out
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``row`` (the input row), ``log_ppl``, the mean negative log probability of a symbol of its ``text``, and ``chars``, its symbols (the end counts as one)."""
+    def __call__(self, slices: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(mean negative log probability, positions) of each text of some slices of ``ngram_codes``.
+
+        What the cache lacks is looked up at once for all slices, so that shards are read once.
+        """
+        found, missed, wanted, sizes = [], [], [], []
+        for codes, lengths in slices:
+            slot = self._slot(codes)
+            found.append(self.values[slot])
+            missed.append(np.flatnonzero(self.keys[slot] != codes))
+            wanted.append(codes[missed[-1]])
+            sizes.append(lengths)
+        if any(map(len, wanted)):
+            fresh = np.unique(np.concatenate([np.unique(w) for w in wanted]))
+            values = np.concatenate([self._chain(fresh[a : a + LOOKUPS]) for a in range(0, len(fresh), LOOKUPS)])
+            for own, at, codes in zip(found, missed, wanted, strict=True):
+                own[at] = values[np.searchsorted(fresh, codes)]
+            slot = self._slot(fresh)
+            self.keys[slot], self.values[slot] = fresh, values
+        means = [-np.add.reduceat(own, np.cumsum(n) - n) / n for own, n in zip(found, sizes, strict=True)]
+        return np.concatenate(means), np.concatenate(sizes)
+
+    @staticmethod
+    def _slot(codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+
+
+def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
+    """``row`` (the input row, or these columns of it), ``log_ppl``, the mean negative log probability of a symbol of its ``text``, and ``chars``, its symbols (the end counts as one)."""
     import pyarrow as pa
     from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
     at = docs.columns.index("text")
-    schema = StructType([StructField("row", docs.schema), StructField("log_ppl", DoubleType()), StructField("chars", LongType())])
+    back = [docs.columns.index(c) for c in columns] if columns else range(len(docs.columns))
+    schema = StructType([StructField("row", StructType([docs.schema.fields[i] for i in back])), StructField("log_ppl", DoubleType()), StructField("chars", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
         for batch in batches:
             scorer = scorer or Scorer(model)
-            texts, values, chars = batch.column(0).field(at).to_pylist(), [np.zeros(0)], [np.zeros(0, np.int64)]
-            for a, b in _groups(texts):
-                codes, sizes = ngram_codes(texts[a:b], model.order)
-                values.append(-np.add.reduceat(scorer(codes), np.cumsum(sizes) - sizes) / sizes)
-                chars.append(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(values)), pa.array(np.concatenate(chars))], names=["row", "log_ppl", "chars"])
+            rows = batch.column(0)
+            texts, kept = rows.field(at), pa.StructArray.from_arrays([rows.field(i) for i in back], fields=[rows.type.field(i) for i in back])
+            for a, b in _groups(_sizes(texts), GROUP_BYTES):
+                values, chars = scorer(_slices(texts.slice(a, b - a), model.order))
+                yield pa.RecordBatch.from_arrays([kept.slice(a, b - a), pa.array(values), pa.array(chars)], names=["row", "log_ppl", "chars"])
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.struct("*").alias("row")).mapInArrow(run, schema)
 
@@ -304,7 +352,10 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
             shards = shards or Shards(uri)
             own = batch.column(0)
             found = ~np.isnan(shards.find(own.fill_null(0).cast(pa.int64()).to_numpy()))
-            yield batch.filter(pa.array(found & own.is_valid().to_numpy(zero_copy_only=False)))
+            found &= own.is_valid().to_numpy(zero_copy_only=False)
+            for a in range(0, len(found), ROWS_OUT):
+                yield batch.slice(a, ROWS_OUT).filter(pa.array(found[a : a + ROWS_OUT]))
+            pa.default_memory_pool().release_unused()
 
     stored = write_table(rows.mapInArrow(run, rows.schema), "trusted")
     drop_paths(docs.sparkSession, uri)
@@ -352,7 +403,7 @@ class Limits:
 
 def limits(trusted: DataFrame, model: Model, quantile: float = QUANTILE, margin: float = MARGIN) -> Limits:
     """Thresholds from the trusted documents that are held out."""
-    scored = write_table(score(trusted.where(held_out(F.col("doc_id"))), model).select(F.struct("row.lang").alias("row"), "log_ppl", "chars"), "perplexity")
+    scored = write_table(score(trusted.where(held_out(F.col("doc_id"))), model, ["lang"]), "perplexity")
     found = Limits(_quantiles(scored, F.col("log_ppl"), 0.5), {})
     found.limit = {k: None if v is None else v + margin for k, v in _quantiles(scored, found.statistic(), quantile).items()}
     drop_tables(scored)
@@ -376,7 +427,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Repeated rows are judged alike; extra columns are ignored.
     """
     model, found = _fitted(docs, labels)
-    return score(docs.select("doc_id", "lang", "text"), model).select(
+    return score(docs.select("doc_id", "lang", "text"), model, ["doc_id", "lang"]).select(
         "row.doc_id", "row.lang", F.exp("log_ppl").alias("perplexity"), F.exp(found.statistic()).alias("shrunk"), F.exp(found.threshold()).alias("threshold"), found.keep().alias("keep")
     )
 

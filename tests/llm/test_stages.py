@@ -254,3 +254,65 @@ def test_fingerprint_links_come_first(spark, monkeypatch):
     assert len(seen[0]) > 8 and all(near(u, v) for u, v in seen[0])
     assert {x for pair in seen[0] for x in pair} >= {u for u in fps if any(near(u, v) and fps[v] < fps[u] for v in fps)}
     assert seen[1] and not seen[0] & seen[1]
+
+
+class Captured:
+    """Stands for a DataFrame: keeps what is given to ``mapInArrow``."""
+
+    def __init__(self, columns=(), schema=None):
+        self.columns, self.schema = list(columns), schema
+
+    def select(self, *_):
+        return self
+
+    where = groupBy = agg = select
+
+    def mapInArrow(self, run, schema):
+        self.run, self.out = run, schema
+        return self
+
+
+def test_quality_worker_memory(spark):
+    """Workers hold a few arrays of a group of texts and hand on little at once, however large Spark's batch is."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quillgraph.llm.quality import count_ngrams, score, train
+
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(LETTERS, 6)) for _ in range(400)]
+    texts = [" ".join(rng.choice(words, 500)) for _ in range(2500)]
+    docs = spark.createDataFrame([(1, texts[0])], "doc_id long, text string")
+    model, counted, scored = train(docs), Captured(), Captured(docs.columns, docs.schema)
+    count_ngrams(counted)
+    score(scored, model)
+    ids, column = pa.array(range(len(texts))), pa.array(texts)
+    for run, batch in ((counted.run, pa.RecordBatch.from_arrays([column], ["text"])), (scored.run, pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([ids, column], ["doc_id", "text"])], ["row"]))):
+        rows = most = 0
+        tracemalloc.start()
+        for out in run(iter([batch])):
+            rows, most = rows + out.num_rows, max(most, out.nbytes)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        print(f"peak {peak / 1e6:.0f} MB, largest output {most / 1e6:.1f} MB of {batch.nbytes / 1e6:.1f}")
+        assert rows and peak < 100e6 and most < 4e6
+
+
+def test_quality_in_small_slices(spark, monkeypatch):
+    """Slices, groups, merges, evicted shards and partial lookups change no value, and judging hands no text back."""
+    from quillgraph.llm import quality
+
+    rng = np.random.default_rng(5)
+    words = ["kalo", "mirta", "sobe", "漢字", "é"]
+    rows = [(i, "aa", " ".join(rng.choice(words, int(rng.integers(0, 40)))) if i % 13 else None) for i in range(150)] + [(None, None, "漢" * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(2)
+    labels = spark.createDataFrame([(i, int(i < 90)) for i in range(150)], "doc_id long, quality int")
+    got = lambda: sorted(map(str, quality.judge(docs, labels).collect()))
+    seen, inner = [], quality.score
+    monkeypatch.setattr(quality, "score", lambda *a: (seen.append(inner(*a)), seen[-1])[1])
+    want = got()
+    assert seen and all("text" not in s.schema["row"].dataType.names for s in seen)
+    for name, value in (("SHARD_ROWS", 40), ("KEPT_SHARDS", 2), ("GROUP_BYTES", 700), ("SLICE_BYTES", 90), ("LOOKUPS", 50), ("FLUSH", 30), ("ROWS_OUT", 7)):
+        monkeypatch.setattr(quality, name, value)
+    assert got() == want and len(want) == 151
