@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import drop_paths, drop_tables, filesystem, new_path, write_table
+from .tokens import drop_encoders
 from .toxicity import held_out
 
 ORDER = 5
@@ -347,6 +348,7 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     uri = _write_shards(docs.sparkSession, ids.select(F.col("doc_id").cast("long").alias("key"), F.lit(0).cast("float").alias("value")), "trusted-ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         shards = None
         for batch in batches:
             shards = shards or Shards(uri)

@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import drop_tables, write_table
+from .shared import drop_tables, small_batches, write_table
 from .simhash import BITS, SEED, PivotTable, keep_first, links, shingle_bytes
+from .tokens import drop_encoders
 
 #: Fingerprints of two sets of ``LEAST`` or more shingles that are four fifths similar differ in 9.9 bits on average
 #: and in more than 26 with a chance of about one in 10 million; closer pairs have smaller odds. Unrelated ones differ
@@ -90,6 +91,7 @@ def _per_text(docs: DataFrame, words: int, common: np.ndarray | None) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         last = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -178,7 +180,11 @@ def near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     Texts with equal sets are one node, those without words (null ones too) are
     another. Rows that repeat a ``doc_id`` belong to one group.
     """
-    docs = docs.where("doc_id is not null")
+    with small_batches(docs.sparkSession):
+        return _near_copies(docs.where("doc_id is not null"), words)
+
+
+def _near_copies(docs: DataFrame, words: int) -> DataFrame:
     table = PivotTable(BLOCKS)
     marked = write_table(_per_text(docs, words, common_shingles(docs, words)), "shingle-marks")
     reps = write_table(marked.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("fp").alias("fp")), "shingle-nodes")

@@ -109,6 +109,11 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def drop_encoders() -> None:
+    """Free the worker's encoders and their memos; Spark reuses a worker for later stages, which may need the memory."""
+    _encoders.clear()
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 

@@ -316,3 +316,43 @@ def test_quality_in_small_slices(spark, monkeypatch):
     for name, value in (("SHARD_ROWS", 40), ("KEPT_SHARDS", 2), ("GROUP_BYTES", 700), ("SLICE_BYTES", 90), ("LOOKUPS", 50), ("FLUSH", 30), ("ROWS_OUT", 7)):
         monkeypatch.setattr(quality, name, value)
     assert got() == want and len(want) == 151
+
+
+def test_near_dedup_worker_memory(spark, monkeypatch, tmp_path):
+    """Near-dedup hands its workers small batches of whole texts, puts the session's settings back and frees what packing left in a worker."""
+    from quillgraph.llm import shingles, tokens
+    from quillgraph.llm.shared import BATCH
+
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(LETTERS, 9)) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(1100)] + [" ".join(rng.choice(words, 300_000)), None]
+    docs = spark.createDataFrame([*enumerate(texts), (2000, texts[0]), (2001, texts[1100])], "doc_id long, text string").coalesce(1)
+    runs, kind, folder = [], type(docs), str(tmp_path)
+    inner = kind.mapInArrow
+
+    def watched(self, run, schema):
+        def seen(batches):
+            import uuid
+
+            for batch in batches:
+                with open(f"{folder}/{uuid.uuid4().hex}", "w") as file:
+                    file.write(f"{batch.num_rows} {batch.nbytes}")
+                yield batch
+
+        runs.append(run)
+        return inner(self, lambda batches: run(seen(batches)), schema)
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    key = next(iter(BATCH))
+    spark.conf.set(key, "777")
+    try:
+        got = {r.doc_id: r.component_id for r in shingles.near_copies(docs).collect()}
+        assert spark.conf.get(key) == "777" and all(spark.conf.get(k, None) is None for k in BATCH if k != key)
+    finally:
+        spark.conf.unset(key)
+    assert got == {**{i: i for i in range(len(texts))}, 2000: 0, 2001: 1100}
+    sizes = [tuple(map(int, file.read_text().split())) for file in tmp_path.iterdir()]
+    assert sum(n for n, _ in sizes) >= len(got) and max(n for n, _ in sizes) <= 512
+    assert max(b for n, b in sizes if n > 1) < 2 * 2**20 + 3.2e6  # a longer text comes with its batch, whole
+    monkeypatch.setitem(tokens._encoders, "left by packing", object())
+    assert not list(runs[0](iter([]))) and not tokens._encoders
