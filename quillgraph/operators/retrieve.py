@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import let
+from ..functions.tables import drop_tables, write_table
 from ..functions.text import first_words, strip_image_token
-from ..functions.vector import block_product, block_topk, dot, fuse, late_fusion, rank_scores, side_mean, unit
+from ..functions.vector import block_product, block_topk, fuse, late_fusion, rank_scores, side_mean, topk_within, unit
 
 
 @dataclass(frozen=True)
@@ -111,20 +112,23 @@ def analogy_query(mode: Column, head_text: Column, tail_text: Column, question_t
     return F.when(mode == 0, two_texts).when(mode == 1, two_images).otherwise(mixed)
 
 
-def anchor_topk(queries: DataFrame, corpus: DataFrame, k: int, n_img: int = 10) -> DataFrame:
+def anchor_topk(queries: DataFrame, corpus: DataFrame, k: int, n_img: int = 10, digits: int | None = None) -> DataFrame:
     """Two stages: heads nearest to the query image, then text order among their triplets.
 
     Queries without an image, and all queries if no head has one, fall back to
-    plain text order. Each corpus row meets only the queries that chose its head.
+    plain text order. Each corpus row meets only the queries that chose its head,
+    in blocks, and only the best ``k`` of a block are shuffled.
     """
     heads = corpus.where("head_emb is not null").groupBy("head").agg(F.min_by("head_emb", "idx").alias("emb"))
-    heads = heads.select(F.col("head").alias("idx"), "emb")
+    heads = write_table(heads.select(F.col("head").alias("idx"), "emb"), "anchor-heads")
     with_image = queries.where("image_emb is not null")
-    chosen = block_topk(with_image.select("qid", F.col("image_emb").alias("emb")), heads, n_img).select("qid", F.col("idx").alias("head"))
-    pairs = corpus.select("idx", "head", unit(F.col("text_emb")).alias("_c")).join(chosen, "head").dropDuplicates(["qid", "idx"])
-    scored = pairs.join(queries.select("qid", unit(F.col("text_emb")).alias("_q")), "qid").select("qid", "idx", dot(F.col("_q"), F.col("_c")).alias("score"))
+    nearest = block_topk(with_image.select("qid", F.col("image_emb").alias("emb")), heads, n_img, digits)
+    chosen = write_table(nearest.select("qid", F.col("idx").alias("head")).distinct(), "anchor-chosen")
+    drop_tables(heads)
+    asking = chosen.join(queries.select("qid", F.col("text_emb").alias("emb")), "qid")
+    among = topk_within(asking, corpus.select("idx", "head", F.col("text_emb").alias("emb")), "head", k, digits)
     rest = queries.join(chosen.select("qid").distinct(), "qid", "left_anti")
-    return rank_scores(scored, k).unionByName(text_topk(rest, corpus, k))
+    return among.unionByName(text_topk(rest, corpus, k, digits))
 
 
 def anchor_by_text(queries: DataFrame, corpus: DataFrame, k: int, n_img: int = 10, n_text: int = 5, digits: int | None = None) -> DataFrame:

@@ -159,3 +159,46 @@ def test_hundredth_queries_search_every_row(spark, tmp_path):
     found = QUERIES["full_ranking"](spark, str(tmp_path)).collect()
     assert {r.qid for r in found} == {0, 100, 200, 300} and len(found) == 4 * 301
     assert {r.qid for r in QUERIES["random_retriever"](spark, str(tmp_path)).collect()} == {0, 100, 200, 300}
+
+
+def shuffled_rows(spark, df):
+    """(rows of ``df``, rows that computing them wrote to shuffles)."""
+    def total():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    return df.collect(), total() - before
+
+
+def test_anchor_shuffles_no_pairs(spark):
+    """A large head is dealt into blocks; only the best of a block move. Rounded ties go to the smaller index."""
+    rng = np.random.default_rng(5)
+    c, q = rng.standard_normal((2000, 4)), rng.standard_normal((50, 4))
+    c[1000:] = c[:1000]
+    corpus = spark.createDataFrame([(i, "ab"[i % 10 == 0], v.tolist(), [1.0, float(i % 10 == 0)]) for i, v in enumerate(c)], "idx long, head string, text_emb array<double>, head_emb array<double>")
+    queries = spark.createDataFrame([(i, v.tolist(), [1.0, 0.0]) for i, v in enumerate(q)], "qid int, text_emb array<double>, image_emb array<double>")
+    rows, moved = shuffled_rows(spark, R.anchor_topk(queries, corpus, 6, n_img=1, digits=9))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(unit(q) @ unit(c).T, 9)
+    s[:, ::10] = -2
+    want = {i: np.argsort(-row, kind="stable")[:6].tolist() for i, row in enumerate(s)}
+    got = {i: [r.idx for r in sorted(rows, key=lambda r: r["rank"]) if r.qid == i] for i in want}
+    assert got == want and moved < 20_000  # of 90,000 pairs
+
+
+def test_topk_within_blocks(spark, vectors):
+    """Keys smaller and larger than a block, keys of one side only, missing vectors last."""
+    q, c, _, _ = vectors
+    keys = [i % 7 if i % 2 else 8 for i in range(60)]
+    corpus = spark.createDataFrame([(i, k, None if i == 4 else v.tolist()) for i, (k, v) in enumerate(zip(keys, c, strict=True))], "idx long, head int, emb array<double>")
+    asked = [(i, k) for i in range(5) for k in (8, i, 9)]
+    queries = spark.createDataFrame([(i, k, q[i].tolist()) for i, k in asked], "qid int, head int, emb array<double>")
+    got = ranks(V.topk_within(queries, corpus, "head", 40, block=2, corpus_block=5))
+    s = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T
+    s[:, 4] = -9
+    for i in range(5):
+        mine = [j for j in range(60) if (i, keys[j]) in asked]
+        assert got[i] == sorted(mine, key=lambda j: (-s[i, j], j))
