@@ -202,3 +202,32 @@ def test_topk_within_blocks(spark, vectors):
     for i in range(5):
         mine = [j for j in range(60) if (i, keys[j]) in asked]
         assert got[i] == sorted(mine, key=lambda j: (-s[i, j], j))
+
+
+@pytest.mark.parametrize("blocks", [{}, {"block": 2, "corpus_block": 9}])
+def test_first_relevant(spark, vectors, blocks):
+    """Position in the whole ranking, without a row a pair; queries without a relevant row stay."""
+    q, c, _, _ = vectors
+    label = lambda i: None if i % 10 == 9 else i % 4
+    corpus = spark.createDataFrame([(i, label(i), c[i % 40].tolist()) for i in range(60)], "idx long, label int, emb array<double>")
+    queries = spark.createDataFrame([(i, 77 if i == 3 else label(i), c[i % 40].tolist()) for i in (0, 1, 3, 9, 42)], "qid int, label int, emb array<double>")
+    rows, moved = shuffled_rows(spark, V.first_relevant(queries, corpus, 9, **blocks))
+    u = c / np.linalg.norm(c, axis=1, keepdims=True)
+    s = np.round(u @ u[[i % 40 for i in range(60)]].T, 9)
+    want = {3: None, 9: None}
+    for i in (0, 1, 42):
+        ranked = sorted(range(60), key=lambda j: (-s[i % 40][j], j))
+        want[i] = 1 + next(r for r, j in enumerate(ranked) if label(j) == label(i) and j != i)
+    assert {r.qid: r.pos for r in rows} == want and moved < 250
+
+
+def test_hits_count_queries_without_relevant_rows(spark, tmp_path):
+    import duckdb
+
+    from quillgraph.queries import ORACLES, QUERIES
+
+    rows = [(i, i, [float(i % 7 + 1), float(i % 11 + 1)]) for i in range(200)] + [(200, 0, [1.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["hits_mrr"](spark, str(tmp_path)).first()
+    want = duckdb.sql(ORACLES["hits_mrr"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()[0]
+    assert tuple(map(float, got)) == tuple(map(float, want)) and got.hits_1 == round(1 / 3, 6)
