@@ -231,3 +231,20 @@ def test_hits_count_queries_without_relevant_rows(spark, tmp_path):
     got = QUERIES["hits_mrr"](spark, str(tmp_path)).first()
     want = duckdb.sql(ORACLES["hits_mrr"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()[0]
     assert tuple(map(float, got)) == tuple(map(float, want)) and got.hits_1 == round(1 / 3, 6)
+
+
+def test_scores_are_made_in_slices(spark):
+    """No more than ``SLICE`` scores are held at once, whatever the blocks; the merge of slices is the ranking."""
+    rng = np.random.default_rng(9)
+    c, q = np.round(rng.standard_normal((30000, 2)), 1), rng.standard_normal((50, 2))
+    side = lambda x, key: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{key} long, emb array<double>")
+    most = V.SLICE
+
+    def fused(s):
+        if s.size > most:
+            raise ValueError("too many scores at once")
+        return s
+
+    got = ranks(V.rank_scores(V.block_product(side(q, "qid"), side(c, "idx"), {"emb": True}, fused, 3, 9), 3))
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    assert got == {i: np.argsort(-row, kind="stable")[:3].tolist() for i, row in enumerate(np.round(unit(q) @ unit(c).T, 9))}
