@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,23 +20,38 @@ def ranking_by_query(ranked: DataFrame, qrels: DataFrame, eval_ids: DataFrame, k
     by k however few were returned; queries without results or without relevant
     documents count as 0. All cut-offs come from one pass over the hits.
     """
+    _positive(ks)
+    relevant = qrels.where("rel > 0")
+    hits = ranked.where(F.col("rank") <= max(ks)).join(relevant, ["qid", "doc_id"]).select("qid", "rank", "rel")
+    return ranking_of_hits(hits, relevant.groupBy("qid", "rel").agg(F.count("*").alias("n")), eval_ids, ks)
+
+
+def _positive(ks: tuple[int, ...]) -> None:
     if any(k <= 0 for k in ks):
         raise ValueError("cut-offs must be positive")
-    most = max(ks)
+
+
+def ranking_of_hits(hits: DataFrame, grades: DataFrame, eval_ids: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+    """``ranking_by_query`` from the relevant rows found (``qid``, ``rank``, ``rel``) and how many there are of each grade (``qid``, ``rel``, ``n``).
+
+    The ideal comes from the numbers, so judgements are counted, never ranked.
+    """
+    _positive(ks)
     ids = eval_ids.select("qid").distinct()
-    relevant = qrels.where("rel > 0")
-    hits = ranked.where(F.col("rank") <= most).join(relevant, ["qid", "doc_id"]).select("qid", "rank", "rel")
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("rel").desc()))
-    ideal = relevant.join(ids, "qid", "left_semi").select("qid", "rel", place.alias("rank")).where(F.col("rank") <= most)
     gain = F.col("rel") / F.log2(F.col("rank") + 1)
+    sums = [0.0]
+    for i in range(1, max(ks) + 1):
+        sums.append(sums[-1] + 1 / math.log2(i + 1))
+    discount = lambda n, k: F.get(F.array(*map(F.lit, sums)), F.least(n, F.lit(k)).cast("int"))  # noqa: E731  of the first n ranks up to k
+    until = F.sum("n").over(Window.partitionBy("qid").orderBy(F.col("rel").desc()))
+    placed = grades.join(ids, "qid", "left_semi").select("qid", "rel", "n", until.alias("to"))
 
     def upto(value: Column, k: int) -> Column:
         return F.coalesce(F.sum(F.when(F.col("rank") <= k, value)), F.lit(0.0))
 
     got = hits.groupBy("qid").agg(*[upto(gain, k).alias(f"d{k}") for k in ks], *[upto(F.lit(1.0), k).alias(f"h{k}") for k in ks])
-    best = ideal.groupBy("qid").agg(*[upto(gain, k).alias(f"i{k}") for k in ks])
-    count = relevant.groupBy("qid").agg(F.count("*").alias("n"))
-    joined = ids.join(got, "qid", "left").join(best, "qid", "left").join(count, "qid", "left")
+    best = placed.groupBy("qid").agg(*[F.sum(F.col("rel") * (discount(F.col("to"), k) - discount(F.col("to") - F.col("n"), k))).alias(f"i{k}") for k in ks], F.sum("n").alias("n"))
+    joined = ids.join(got, "qid", "left").join(best, "qid", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     rows = F.array(*[
         F.struct(
