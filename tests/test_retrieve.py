@@ -248,3 +248,11 @@ def test_scores_are_made_in_slices(spark):
     got = ranks(V.rank_scores(V.block_product(side(q, "qid"), side(c, "idx"), {"emb": True}, fused, 3, 9), 3))
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     assert got == {i: np.argsort(-row, kind="stable")[:3].tolist() for i, row in enumerate(np.round(unit(q) @ unit(c).T, 9))}
+
+
+def test_full_ranking_hands_back_small_frames(spark):
+    """Without ``k`` a pair of blocks hands back ``SLICE`` rows at most, so blocks of the corpus are smaller."""
+    q = spark.range(3).select(F.col("id").alias("qid"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("emb"))
+    c = spark.range(20000).select(F.col("id").alias("idx"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("emb"))
+    made = V.block_product(q, c, {"emb": True}, lambda s: s * 0 + s.shape[1], None)
+    assert made.agg(F.max("score")).first()[0] < 5000 and made.count() == 60000
