@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,10 +147,45 @@ def bleu4(pred: Column, gold: Column, light: bool = False) -> Column:
     return bleu(tokens(pred), tokens(gold))
 
 
+def _char_bleu(pred: Sequence[str], gold: Sequence[str]) -> np.ndarray:
+    """``bleu`` without smoothing over the characters of each pair of strings; all n-grams of a batch are matched in one sort an order."""
+    codes = lambda texts: np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    c, r = (np.array([len(x) for x in texts], np.int64) for texts in (pred, gold))
+    rows = np.concatenate([np.repeat(np.arange(len(x)), x) for x in (c, r)])
+    side = np.repeat([0, 1], [c.sum(), r.sum()])
+    start = np.concatenate([np.repeat(np.cumsum(x) - x, x) for x in (c, r)]) + side * c.sum()
+    left = np.concatenate([np.repeat(x, x) for x in (c, r)]) - (np.arange(len(rows)) - start)  # characters from here on
+    letters = np.unique(np.concatenate([codes(pred), codes(gold)]), return_inverse=True)[1].astype(np.int64)
+    total, gram = np.zeros(len(c)), letters
+    for n in range(1, 5):
+        if n > 1:  # an n-gram is the one before with its next character, numbered anew
+            after = np.append(letters[n - 1 :], np.zeros(min(n - 1, len(letters)), np.int64))
+            gram = np.unique(gram * (letters.max(initial=0) + 1) + after, return_inverse=True)[1].astype(np.int64)
+        full = left >= n
+        key, where = np.unique(rows[full] * (gram.max(initial=0) + 1) + gram[full], return_inverse=True)
+        counts = np.bincount(where * 2 + side[full], minlength=2 * len(key)).reshape(-1, 2)
+        hit = np.bincount(key // (gram.max(initial=0) + 1), counts.min(axis=1), len(c))
+        with np.errstate(divide="ignore"):
+            total += np.log(np.where(c >= n, hit / np.maximum(c - n + 1, 1), 0))
+    return np.where((c == 0) | (r == 0), 0.0, np.where(c > r, 1.0, np.exp(1 - r / np.maximum(c, 1))) * np.exp(total / 4))
+
+
 def char_bleu(pred: Column, gold: Column) -> Column:
     """Unsmoothed BLEU-4 over the characters of the normalised answers."""
-    chars = lambda c: F.filter(F.split(F.array_join(answer_tokens(c), " "), ""), lambda x: x != "")
-    return bleu(chars(pred), chars(gold), smooth=False)
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("double")
+    def score(p: pd.Series, g: pd.Series) -> pd.Series:
+        parts, at, size = [], 0, 0
+        lengths = (p.str.len() + g.str.len()).tolist()
+        for i, n in enumerate(lengths):  # about 260,000 characters at once
+            size += n
+            if size >= 1 << 18 or i + 1 == len(lengths):
+                parts.append(_char_bleu(p.iloc[at : i + 1].tolist(), g.iloc[at : i + 1].tolist()))
+                at, size = i + 1, 0
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    return score(*[F.array_join(answer_tokens(x), " ") for x in (pred, gold)])
 
 
 def answer_scores(pred: Column, gold: Column, light: bool) -> dict[str, Column]:

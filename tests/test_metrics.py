@@ -108,3 +108,30 @@ def test_ideal_from_grades(spark):
     row = M.ranking_by_query(ranked, qrels, qrels, (5,)).first()
     gain = lambda gs: sum(g / math.log2(i + 2) for i, g in enumerate(gs))
     assert math.isclose(row.ndcg, gain([1, 3]) / gain([3, 3, 2, 2, 2])) and row.precision == 0.4 and math.isclose(row.recall, 2 / 15)
+
+
+def test_char_bleu_of_a_batch():
+    """All pairs of a batch in a few sorts, with characters beyond the basic plane and texts shorter than the orders."""
+    import random
+    from collections import Counter
+
+    def plain(p, g):
+        total = 0.0
+        for n in range(1, 5):
+            a, b = (Counter(x[i : i + n] for i in range(len(x) - n + 1)) for x in (p, g))
+            if not (hit := sum((a & b).values())):
+                return 0.0
+            total += math.log(hit / sum(a.values()))
+        return (1 if len(p) > len(g) else math.exp(1 - len(g) / len(p))) * math.exp(total / 4)
+
+    draw = random.Random(4)
+    texts = ["".join(draw.choices("ab é\U0001f600", k=draw.choice((0, 1, 3, 4, 5, 30)))) for _ in range(400)]
+    golds = texts[:20] + texts[:19:-1]
+    got = M._char_bleu(texts, golds)
+    assert all(math.isclose(x, plain(p, g), abs_tol=1e-12) for x, p, g in zip(got, texts, golds, strict=True)) and len(M._char_bleu([], [])) == 0
+
+
+def test_char_bleu_within_means(spark):
+    rows = spark.createDataFrame([("a", "the long answer", "long answer"), ("a", None, "long"), ("b", "other", "other")], "k string, p string, g string")
+    got = {r.k: (r.bleu, r.em) for r in rows.groupBy("k").agg(*M.open_metrics(F.col("p"), F.col("g"))).collect()}
+    assert got == {"a": (0.5, 0.5), "b": (1.0, 1.0)}
