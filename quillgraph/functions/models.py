@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import small_batches
+
 Encode = Callable[[Sequence], np.ndarray]
 
 
@@ -60,7 +62,8 @@ def cached_embed(df: DataFrame, column: str, load: Callable[[], Encode], model:
     known = spark.read.schema(schema).parquet(cache_path)
     missing = keyed.where(F.col(column).isNotNull()).select("_key", column).dropDuplicates(["_key"]).join(known.select(F.col("key").alias("_key")), "_key", "left_anti")
     fresh = embed(missing, column, load).select(F.col("_key").alias("key"), F.lit(model).alias("model"), F.lit(tag).alias("tag"), "emb")
-    fresh.write.mode("append").parquet(cache_path)
+    with small_batches(spark):
+        fresh.write.mode("append").parquet(cache_path)
     cache = spark.read.schema(schema).parquet(cache_path).dropDuplicates(["key"])
     return keyed.join(cache.select(F.col("key").alias("_key"), F.col("emb").alias(out)), "_key", "left").drop("_key")
 
@@ -173,7 +176,8 @@ def cached_entity_images(images: DataFrame, load: Callable[[], Encode], model: s
     spark.createDataFrame([], schema).write.mode("append").parquet(cache_path)
     known = spark.read.schema(schema).parquet(cache_path)
     missing = keyed.select("key", "content").join(known.select("key"), "key", "left_anti").dropDuplicates(["key"])
-    embed(missing, "content", load).select("key", "emb").write.mode("append").parquet(cache_path)
+    with small_batches(spark):
+        embed(missing, "content", load).select("key", "emb").write.mode("append").parquet(cache_path)
     cache = spark.read.schema(schema).parquet(cache_path).dropDuplicates(["key"])
     return keyed.select("entity_id", "key").join(cache, "key").select("entity_id", "emb")
 
@@ -187,7 +191,8 @@ def cached_captions(images: DataFrame, load: Callable[[], Callable[[Sequence[byt
     spark.createDataFrame([], schema).write.mode("append").parquet(cache_path)
     known = spark.read.schema(schema).parquet(cache_path)
     missing = keyed.select("key", "content").join(known.select("key"), "key", "left_anti").dropDuplicates(["key"])
-    caption(missing, "content", load).select("key", "caption").write.mode("append").parquet(cache_path)
+    with small_batches(spark):
+        caption(missing, "content", load).select("key", "caption").write.mode("append").parquet(cache_path)
     cache = spark.read.schema(schema).parquet(cache_path).dropDuplicates(["key"])
     return keyed.select("entity_id", "key").join(cache, "key").select("entity_id", "caption")
 

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import drop_paths, drop_tables, filesystem, new_path, shared_dir, write_table
-
-__all__ = ["bounded_sample", "drop_paths", "drop_tables", "filesystem", "new_path", "shared_dir", "small_batches", "write_table"]
+from ..functions.tables import BATCH, drop_paths, drop_tables, filesystem, new_path, shared_dir, small_batches, write_table
 
-#: What Spark hands a Python worker at once; see ``small_batches``.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": "2097152"}
+__all__ = ["BATCH", "bounded_sample", "drop_paths", "drop_tables", "filesystem", "new_path", "shared_dir", "small_batches", "write_table"]
 
 
 def bounded_sample(rows: DataFrame, label: str, per_label: int, max_chars: int) -> list[Row]:
@@ -37,21 +31,3 @@ def bounded_sample(rows: DataFrame, label: str, per_label: int, max_chars: int)
     by = Window.partitionBy(label).orderBy(h, "doc_id")
     ranked = once.withColumns({"_n": F.row_number().over(by), "_c": F.sum(F.length(F.coalesce("text", F.lit("")))).over(by)})
     return ranked.where((F.col("_n") <= per_label) & (F.col("_c") <= max_chars)).select("doc_id", label, "text").collect()
-
-
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Within it, jobs hand their Python workers small batches of rows; the session's own settings are put back.
-
-    Spark's batches of 10,000 rows or 64 MB are held several times over: by the
-    executor outside its heap, in Arrow's vectors and in the buffer of the
-    socket, and by the worker. This affects memory, never the result.
-    """
-    before = {k: spark.conf.get(k, None) for k in BATCH}
-    try:
-        for k, v in BATCH.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

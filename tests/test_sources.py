@@ -124,3 +124,23 @@ def test_logs_have_safe_names(spark, tmp_path):
     rows = spark.createDataFrame([(1, bytearray(b"x"))], "id int, data binary")
     path = K.write_log(rows, str(tmp_path), "mm only/k=5")
     assert path.endswith("/mm_only_k_5") and spark.read.json(path).first().data == "eA=="
+
+
+def test_cache_encodes_small_batches(spark, tmp_path):
+    """The encoder is handed at most 512 texts at once, and the session's settings stay."""
+    from pyspark.sql import functions as F
+
+    from quillgraph.functions.models import cached_embed
+
+    def load():
+        def encode(items):
+            if len(items) > 512:
+                raise ValueError("a large batch")
+            return [[float(len(x))] for x in items]
+
+        return encode
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = spark.range(0, 1500, 1, 1).select("id", F.repeat(F.lit("x"), F.col("id").cast("int")).alias("t"))
+    assert all(r.emb == [float(r.id)] for r in cached_embed(rows, "t", load, "m", "tag", str(tmp_path / "c")).collect())
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
